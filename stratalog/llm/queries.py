@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, mixing, quality, simhash, sstable, urlfilter
+from . import bpe, exactdedup, htmltext, mixing, ngramlm, quality, simhash, sstable, toxicity, urlfilter
 from .common import read
 
 
@@ -16,6 +16,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"))
 
@@ -32,11 +40,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op5_bpe, op6_token_shards, op7_exact_dedup, op8_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_lm_scoring, op5_bpe, op6_token_shards, op7_exact_dedup, op8_mixing, op9_html_text, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
