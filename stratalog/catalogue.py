@@ -1,4 +1,4 @@
 """All queries by name and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import access, coverage, dependencies, inventory, packages, paging, queue, search  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
