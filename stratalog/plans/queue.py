@@ -1 +1,78 @@
+"""Work-queue metrics, claim order, admission and retries, telemetry."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.keys import display_status, retry_delay
+from ..operators.rollup import n_if
+from ..registry import query
+from ..tables import table
+
+#: "Now" of all reports, so that results can be repeated.
+NOW = "2024-02-01 00:00:00"
+_Q = "CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'done' END"
+
+
+def jobs(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_Q).alias("status"), F.col("o_orderpriority").alias("queue"), F.col("o_orderdate").alias("available_at"), F.col("o_custkey").alias("parent"), F.col("o_totalprice").alias("cost"))
+
+
+_J = f"j AS (SELECT o_orderkey AS id, {_Q} AS status, o_orderpriority AS queue, o_orderdate AS available_at, o_custkey AS parent, o_totalprice AS cost FROM orders)"
+
+
+@query(f"WITH {_J} SELECT queue, status, count(*) AS jobs, CAST(floor(epoch(TIMESTAMP '{NOW}' - min(available_at))) AS BIGINT) AS oldest_seconds FROM j GROUP BY ALL")
+def queue_metrics(spark, sf):
+    return jobs(spark, sf).groupBy("queue", "status").agg(F.count("*").alias("jobs"), F.expr(f"timestampdiff(SECOND, min(available_at), TIMESTAMP '{NOW}')").alias("oldest_seconds"))
+
+
+@query(f"WITH {_J} SELECT queue, CAST(count(*) FILTER (WHERE status = 'queued') AS BIGINT) AS queued, CAST(count(*) FILTER (WHERE status = 'running') AS BIGINT) AS running FROM j GROUP BY queue")
+def queue_totals(spark, sf):
+    return jobs(spark, sf).groupBy("queue").agg(n_if(F.col("status") == "queued").alias("queued"), n_if(F.col("status") == "running").alias("running"))
+
+
+@query("SELECT event_type AS status, coalesce(json_extract_string(CASE WHEN user_id % 3 = 0 THEN '{\"display_status\":\"waiting\"}' WHEN user_id % 3 = 1 THEN props ELSE '{}' END, '$.display_status'), event_type) AS display_status, count(*) AS jobs FROM events GROUP BY ALL")
+def display_status_counts(spark, sf):
+    payload = F.when(F.col("user_id") % 3 == 0, F.lit('{"display_status":"waiting"}')).when(F.col("user_id") % 3 == 1, F.col("props")).otherwise(F.lit("{broken"))
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("status"), display_status(payload, F.col("event_type")).alias("display_status")).agg(F.count("*").alias("jobs"))
+
+
+@query(f"WITH {_J}, r AS (SELECT DISTINCT parent FROM j WHERE status = 'running') SELECT id, queue, row_number() OVER (PARTITION BY queue ORDER BY available_at, id) AS position FROM j WHERE status = 'queued' AND available_at <= TIMESTAMP '{NOW}' AND parent NOT IN (SELECT parent FROM r)")
+def claim_order(spark, sf):
+    j = jobs(spark, sf)
+    free = j.where(f"status = 'queued' AND available_at <= TIMESTAMP '{NOW}'").join(j.where("status = 'running'").select("parent").distinct(), "parent", "left_anti")
+    return free.select("id", "queue", F.row_number().over(W.partitionBy("queue").orderBy("available_at", "id")).alias("position"))
+
+
+@query(f"WITH {_J}, q AS (SELECT id, queue, parent, row_number() OVER (PARTITION BY queue, parent ORDER BY available_at, id) AS n FROM j WHERE status = 'queued') SELECT id, queue, parent, n <= 2 AS admitted FROM q")
+def admission(spark, sf):
+    q = jobs(spark, sf).where("status = 'queued'").withColumn("n", F.row_number().over(W.partitionBy("queue", "parent").orderBy("available_at", "id")))
+    return q.select("id", "queue", "parent", (F.col("n") <= 2).alias("admitted"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE CAST(power(2, least(8, user_id % 12)) AS INTEGER) END AS delay FROM events")
+def retry_delays(spark, sf):
+    return table(spark, sf, "events").select("event_id", retry_delay((F.col("user_id") % 12).cast("int"), F.col("event_type") == "error").alias("delay"))
+
+
+@query("SELECT event_type AS context, count(*) AS samples, CAST(round(sum(value), 4) AS DOUBLE) AS total, max(value) AS most, arg_max(value, (ts, event_id)) AS latest, CAST(count(*) FILTER (WHERE value >= 100) AS BIGINT) AS slow, CAST(floor(round(sum(value), 4) / count(*)) AS BIGINT) AS average FROM events GROUP BY event_type")
+def count_telemetry(spark, sf):
+    total = F.round(F.sum("value"), 4)
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("context")).agg(F.count("*").alias("samples"), total.alias("total"), F.max("value").alias("most"), F.max_by("value", F.struct("ts", "event_id")).alias("latest"), n_if(F.col("value") >= 100).alias("slow"), F.floor(total / F.count("*")).alias("average"))
+
+
+_A = "CASE WHEN (full_scan AND n >= 3000) OR (sorts AND n >= 1500) THEN 'investigate' WHEN n >= 1200 OR (sorts AND n >= 400) THEN 'watch' ELSE 'normal' END"
+
+
+@query(f"WITH p AS (SELECT o_orderpriority AS context, o_orderstatus AS kind, count(*) AS n, o_orderstatus = 'F' AS full_scan, o_orderpriority LIKE '1%' AS sorts FROM orders GROUP BY ALL) SELECT context, kind, n, {_A} AS assessment FROM p")
+def plan_assessment(spark, sf):
+    p = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("context"), F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n"))
+    return p.withColumn("full_scan", F.col("kind") == "F").withColumn("sorts", F.col("context").startswith("1")).select("context", "kind", "n", F.expr(_A).alias("assessment"))
+
+
+@query(f"WITH {_J} SELECT p.queue, count(DISTINCT q.parent) AS blocked_roots, count(*) AS blocked FROM j q JOIN (SELECT DISTINCT parent, queue FROM j WHERE status = 'running') p USING (parent) WHERE q.status = 'queued' GROUP BY p.queue")
+def blocked_work(spark, sf):
+    j = jobs(spark, sf)
+    running = j.where("status = 'running'").select("parent", "queue").distinct()
+    return j.where("status = 'queued'").select("parent").join(running, "parent").groupBy("queue").agg(F.countDistinct("parent").alias("blocked_roots"), F.count("*").alias("blocked"))
