@@ -135,7 +135,7 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     """Arrays of a file, as views of a memory map (of its bytes, where the folder isn't mounted)."""
     path = local_path(uri)
     if path is not None:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     else:
         from pyarrow import fs
 
