@@ -1 +1,102 @@
+"""Name dictionaries, provider keys and selection, import paths and binary sources over generated packages."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.keys import name_key
+from ..operators.imports import outer_paths, verify_imports
+from ..registry import query
+from ..sources.binary import compact_index_column, encode_compact_index, legacy_header, probe_header, redirect_round_trip
+from ..tables import EDGES_SQL, edges, table
+
+
+@query("SELECT DISTINCT md5(lower(trim(p_name))) AS hash, CAST(strlen(lower(trim(p_name))) AS BIGINT) AS length, sha256(lower(trim(p_name))) AS fingerprint, lower(trim(p_name)) AS name FROM part")
+def name_dictionary(spark, sf):
+    k = table(spark, sf, "part").select(name_key(F.col("p_name")).alias("name")).distinct()
+    b = F.col("name").cast("binary")
+    return k.select(F.md5(b).alias("hash"), F.octet_length("name").cast("long").alias("length"), F.sha2(b, 256).alias("fingerprint"), "name")
+
+
+@query(f"WITH {EDGES_SQL} SELECT file_id, lower(trim(object_name)) AS name, min(source_index) AS first_index FROM edges GROUP BY ALL")
+def name_candidates(spark, sf):
+    return edges(spark, sf).groupBy("file_id", name_key(F.col("object_name")).alias("name")).agg(F.min("source_index").alias("first_index"))
+
+
+@query("SELECT p_partkey AS object_id, md5(concat_ws(chr(0), lower(trim(p_name)), lower(trim(p_type)), lower(trim(p_brand)))) AS object_hash FROM part")
+def object_candidates(spark, sf):
+    from ..functions.keys import triple_hash
+
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("object_id"), triple_hash(F.col("p_name"), F.col("p_type"), F.col("p_brand")).alias("object_hash"))
+
+
+_KEYS = "keys AS (SELECT p_partkey AS source_id, 1 AS source_kind, md5(lower(trim(p_name))) AS package_key FROM part UNION ALL SELECT p_partkey, 2, md5(lower(trim(p_brand))) FROM part WHERE lower(p_brand) <> lower(p_name))"
+
+
+def keys(spark, sf):
+    p = table(spark, sf, "part")
+    k = lambda c: F.md5(name_key(F.col(c)).cast("binary")).alias("package_key")
+    return p.select(F.col("p_partkey").alias("source_id"), F.lit(1).alias("source_kind"), k("p_name")).unionByName(p.where("lower(p_brand) <> lower(p_name)").select(F.col("p_partkey").alias("source_id"), F.lit(2).alias("source_kind"), k("p_brand")))
+
+
+@query(f"WITH {_KEYS} SELECT * FROM keys")
+def provider_keys(spark, sf):
+    return keys(spark, sf)
+
+
+_CAND = f"{_KEYS}, cand AS (SELECT package_key, source_id, source_kind, s_suppkey AS provider, row_number() OVER (PARTITION BY package_key, s_suppkey ORDER BY source_kind, source_id) AS n FROM keys JOIN supplier ON source_id % 100 + 1 = s_suppkey WHERE s_acctbal >= 0)"
+
+
+def candidates(spark, sf):
+    s = table(spark, sf, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("provider"))
+    c = keys(spark, sf).withColumn("provider", F.col("source_id") % 100 + 1).join(s, "provider")
+    return c.withColumn("n", F.row_number().over(W.partitionBy("package_key", "provider").orderBy("source_kind", "source_id"))).where("n = 1").drop("n")
+
+
+@query(f"WITH {_CAND} SELECT package_key, source_id, source_kind, provider FROM cand WHERE n = 1")
+def provider_candidates(spark, sf):
+    return candidates(spark, sf)
+
+
+@query(f"WITH {_CAND} SELECT package_key, count(*) AS candidates, CASE WHEN count(*) FILTER (WHERE provider % 10 = 0) > 0 THEN 'mounted' WHEN count(*) > 1 THEN 'ambiguous' ELSE 'single' END AS status, CASE WHEN count(*) FILTER (WHERE provider % 10 = 0) > 0 THEN min(provider) FILTER (WHERE provider % 10 = 0) WHEN count(*) = 1 THEN min(provider) END AS selected FROM cand WHERE n = 1 GROUP BY package_key")
+def provider_selection(spark, sf):
+    mounted = F.min(F.when(F.col("provider") % 10 == 0, F.col("provider")))
+    c = candidates(spark, sf).groupBy("package_key").agg(F.count("*").alias("candidates"), mounted.alias("m"), F.min("provider").alias("only"))
+    status = F.when(F.col("m").isNotNull(), "mounted").when(F.col("candidates") > 1, "ambiguous").otherwise("single")
+    return c.select("package_key", "candidates", status.alias("status"), F.coalesce("m", F.when(F.col("candidates") == 1, F.col("only"))).alias("selected"))
+
+
+def _imports(spark, sf):
+    """Generated imports and exports of packages: outers chain downwards, a few point at themselves."""
+    p = table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("file_id"), (F.floor(F.col("p_partkey") / 50) + 1).cast("int").alias("index"), F.col("p_name").alias("object_name"), F.col("p_type").alias("class_name"), F.col("p_size").alias("size"))
+    up = F.when(F.col("size") % 7 == 0, 0).when(F.col("size") % 11 == 0, F.col("index")).otherwise(F.col("index") - 1)
+    return p.withColumn("outer_index", up.cast("int")).drop("size")
+
+
+@query()
+def outer_chain_paths(spark, sf):
+    return outer_paths(_imports(spark, sf))
+
+
+@query()
+def verify_import_outcomes(spark, sf):
+    rows = _imports(spark, sf)
+    exports = rows.where("index % 3 <> 0").withColumn("flags", F.when(F.col("index") % 5 == 0, 0).otherwise(1).cast("long"))
+    return verify_imports(rows, exports.withColumn("file_id", F.col("file_id")), engine=4)
+
+
+@query()
+def compact_index(spark, sf):
+    p = table(spark, sf, "lineitem").select((F.col("l_partkey") * 7919 - 800000).cast("int").alias("expected"))
+    return p.select("expected", compact_index_column(encode_compact_index(F.col("expected"))).alias("decoded"))
+
+
+@query()
+def header_probe(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", probe_header(legacy_header(F.col("p_size"), F.col("p_partkey"))).alias("h")).select("p_partkey", "h.*")
+
+
+@query()
+def redirect_codec(spark, sf):
+    return table(spark, sf, "pages").select("page_id", redirect_round_trip(F.col("html")).alias("r")).select("page_id", "r.*")
