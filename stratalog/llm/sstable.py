@@ -3,9 +3,10 @@
 A shard holds documents in ascending order of their keys (the identifier as 8 big-endian bytes with the sign bit turned,
 after one byte that is 1 for null, so nulls come last):
 
-    block*    entries: varint(bytes shared with the key before), varint(further key bytes), varint(value bytes), key
-              bytes, value. The first entry of a block shares nothing. A value is 32-bit little-endian identifiers.
-    index     for each block: first key (9 bytes), offset (u64), bytes (u32), entries (u32)
+    block*    zstd of entries: varint(bytes shared with the key before), varint(further key bytes), varint(2 * identifiers
+              + wide), key bytes, value. The first entry of a block shares nothing. A value is little-endian identifiers
+              of 16 bits, or of 32 where wide is 1: if one of them needs more.
+    index     for each block: first key (9 bytes), offset (u64), bytes (u32), bytes unpacked (u32), entries (u32)
     bloom     bits of a Bloom filter of all keys, 10 a key, 7 probes
     footer    offsets and sizes of index and bloom, numbers of blocks, documents and identifiers, probes, magic
 
@@ -29,6 +30,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,10 +40,10 @@ from pyspark.sql import functions as F
 from .bpe import codec, vocabulary_path
 from .common import batches, materialise, new_folder
 
-MAGIC = b"STRASST1"
+MAGIC = b"STRASST2"
 BLOCK_BYTES = 64 << 10
 KEY = 9
-_INDEX = struct.Struct(f"<{KEY}sQII")
+_INDEX = struct.Struct(f"<{KEY}sQIII")
 _FOOTER = struct.Struct("<QQQQQQQI8s")
 BITS_A_KEY, PROBES = 10, 7
 
@@ -99,7 +101,9 @@ class ShardWriter:
                 shared += 1
         else:
             self.first = key
-        self.block += _varint(shared) + _varint(KEY - shared) + _varint(len(value)) + key[shared:] + value
+        ids = np.frombuffer(value, "<u4")
+        wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
+        self.block += _varint(shared) + _varint(KEY - shared) + _varint(2 * len(ids) + wide) + key[shared:] + (value if wide else ids.astype("<u2").tobytes())
         self.last, self.entries, self.ids = key, self.entries + 1, self.ids + len(value) // 4
         self.hashes.append(key)
         if len(self.block) >= self.block_bytes:
@@ -107,9 +111,10 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self.block:
-            self.index.append(_INDEX.pack(self.first, self.at, len(self.block), self.entries))
-            self.out.write(bytes(self.block))
-            self.at += len(self.block)
+            packed = pa.compress(bytes(self.block), codec="zstd", asbytes=True)
+            self.index.append(_INDEX.pack(self.first, self.at, len(packed), len(self.block), self.entries))
+            self.out.write(packed)
+            self.at += len(packed)
             self.block, self.entries = bytearray(), 0
 
     def close(self) -> dict:
@@ -144,17 +149,19 @@ class ShardReader:
         return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(pack_key(ident), len(self.bloom) * 8))
 
     def _block(self, i: int) -> Iterator[tuple[int | None, bytes]]:
-        _, at, size, entries = self.index[i]
+        _, at, size, unpacked, entries = self.index[i]
         self.file.seek(at)
-        data, pos, key = self.file.read(size), 0, b""
+        data, pos, key = pa.decompress(self.file.read(size), unpacked, codec="zstd", asbytes=True), 0, b""
         for _ in range(entries):
             shared, pos = _read_varint(data, pos)
             more, pos = _read_varint(data, pos)
             n, pos = _read_varint(data, pos)
             key = key[:shared] + data[pos : pos + more]
             pos += more
-            yield unpack_key(key), data[pos : pos + n]
-            pos += n
+            size = n >> 1 << 1 + (n & 1)
+            value = data[pos : pos + size]
+            yield unpack_key(key), value if n & 1 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
+            pos += size
 
     def get(self, ident: int | None) -> list[bytes]:
         """The values of a key: none, one, or as many as rows repeat it."""
