@@ -99,15 +99,15 @@ def unresolved_file_counts(spark, sf):
     return u.agg(n_if(F.col("bad") > 0).alias("unresolved_files"), n_if(F.col("bad") == 0).alias("resolved_files"), n_if(F.col("good") == 0).alias("without_resolved"), F.sum("bad").alias("unresolved_edges"))
 
 
-for _name, _sql, _keep in (
-    ("dependency_filter_resolved", "bool_or(outcome = 1)", F.bool_or(F.col("outcome") == 1)),
-    ("dependency_filter_fully_resolved", "bool_and(outcome = 1)", F.bool_and(F.col("outcome") == 1)),
-    ("dependency_filter_unresolved", "bool_or(outcome = 4)", F.bool_or(F.col("outcome") == 4)),
-    ("dependency_filter_missing", "bool_or(outcome = 0)", F.bool_or(F.col("outcome") == 0)),
-    ("dependency_filter_package_only", "bool_and(outcome = 2)", F.bool_and(F.col("outcome") == 2)),
+for _name, _sql in (
+    ("dependency_filter_resolved", "bool_or(outcome = 1)"),
+    ("dependency_filter_fully_resolved", "bool_and(outcome = 1)"),
+    ("dependency_filter_unresolved", "bool_or(outcome = 4)"),
+    ("dependency_filter_missing", "bool_or(outcome = 0)"),
+    ("dependency_filter_package_only", "bool_and(outcome = 2)"),
 ):
     query(f"WITH {EDGES_SQL}, s AS (SELECT file_id FROM edges GROUP BY file_id HAVING {_sql}) SELECT o_orderkey AS file_id, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT file_id FROM s)", _name)(
-        lambda spark, sf, keep=_keep: table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderstatus").alias("status")).join(edges(spark, sf).groupBy("file_id").agg(keep.alias("keep")).where("keep"), "file_id", "left_semi")
+        lambda spark, sf, keep=_sql: table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderstatus").alias("status")).join(edges(spark, sf).groupBy("file_id").agg(F.expr(keep).alias("keep")).where("keep"), "file_id", "left_semi")
     )
 
 
