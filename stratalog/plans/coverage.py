@@ -50,9 +50,6 @@ def provider_coverage(spark, sf):
     return m.join(required, "package").select("package", "provider", "required", "matched", (F.col("required") - F.col("matched")).alias("missing"), level.alias("coverage"))
 
 
-_DIV = "need AS (SELECT DISTINCT file_id, package FROM edges WHERE outcome = 0), offer AS (SELECT DISTINCT supplier, package FROM edges WHERE outcome = 1)"
-
-
 @query(f"WITH {EDGES_SQL}, need AS (SELECT DISTINCT package FROM edges WHERE outcome = 0), offer AS (SELECT DISTINCT supplier, package FROM edges WHERE outcome = 1) SELECT supplier AS provider, count(*) AS matched, count(*) = (SELECT count(*) FROM need) AS superset FROM offer SEMI JOIN need USING (package) GROUP BY supplier")
 def package_superset(spark, sf):
     e = edges(spark, sf)

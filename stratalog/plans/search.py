@@ -20,9 +20,6 @@ def search_identity(spark, sf):
     return d.where(F.col(column) == PROBE).union(d.join(d.where("doc_id = 7").select("md5").distinct(), "md5", "left_semi").select("doc_id", "md5")).distinct()
 
 
-_PRE = "starts_with(lower(p_name), 'a') , starts_with(lower(p_brand), 'brand#1'), starts_with(lower(p_type), 'eco')"
-
-
 @query("SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'a') THEN 1 WHEN starts_with(lower(p_brand), 'brand#1') THEN 2 ELSE 3 END AS stage, array_to_string(list_filter([CASE WHEN starts_with(lower(p_name), 'a') THEN 'name' END, CASE WHEN starts_with(lower(p_brand), 'brand#1') THEN 'brand' END, CASE WHEN starts_with(lower(p_type), 'eco') THEN 'type' END], lambda x: x IS NOT NULL), ',') AS fields FROM part WHERE starts_with(lower(p_name), 'a') OR starts_with(lower(p_brand), 'brand#1') OR starts_with(lower(p_type), 'eco')")
 def search_prefix(spark, sf):
     return staged(table(spark, sf, "part"), "p_partkey", [("name", F.lower("p_name").startswith("a")), ("brand", F.lower("p_brand").startswith("brand#1")), ("type", F.lower("p_type").startswith("eco"))])
