@@ -55,7 +55,3 @@ def byte_lists(batch: pa.RecordBatch, i: int) -> list[bytes]:
 def batches(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-
-def sql_path(path: str) -> str:
-    """A path of the shared folder as executors' Python opens it, where the folder is mounted (file: or no scheme)."""
-    return path.removeprefix("file://").removeprefix("file:") if path.startswith("file:") else path
