@@ -96,5 +96,5 @@ def test_sections(spark, tmp_path):
     assert {(r.file_id, r.payload[0]) for r in now.collect()} == {(1, "a"), (2, "a"), (3, "b"), (4, "b")} and now.count() == 20
     problems = sections.verify(now, spark.createDataFrame(before), 2)
     assert {(r.file_id, r.problem) for r in problems.collect()} == {(3, "changed"), (4, "unexpected")}
-    assert [r.index for r in sections.page(now, 2, "names", 1, 2, 2).orderBy("index").collect()] == [2, 3]
+    assert [r["index"] for r in sections.page(now, 2, "names", 1, 2, 2).orderBy("index").collect()] == [2, 3]
     assert sections.at_positions(now, spark.createDataFrame([(1, 0), (4, 4), (9, 9)], "file_id long, index long")).count() == 2
