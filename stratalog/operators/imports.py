@@ -1,10 +1,9 @@
-"""Outer chains of imports and their verification against a provider's exports; both are local to a file."""
+"""Outer chains of imports, local to a file."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MAX_HOPS = 128
 
@@ -29,36 +28,3 @@ def outer_paths(imports: DataFrame) -> DataFrame:
         return pd.DataFrame({"file_id": pdf["file_id"], "index": pdf["index"], "path": [chain(names, outers, i) for i in pdf["index"]]})
 
     return imports.groupBy("file_id").applyInPandas(run, "file_id long, index int, path string")
-
-
-def verify_imports(imports: DataFrame, exports: DataFrame, engine: int) -> DataFrame:
-    """file_id, index, outcome, reason: parents first (with memo and a guard against cycles), then class and public bit."""
-    bit = 1 << 34 if engine == 3 else 1
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        by_key: dict[tuple, list] = {}
-        for i, name, cls, outer, flags in zip(right["index"], right["object_name"], right["class_name"], right["outer_index"], right["flags"], strict=True):
-            by_key.setdefault((str(name).lower(), str(cls).lower()), []).append((i, outer, flags))
-        rows = {i: (n, c, o) for i, n, c, o in zip(left["index"], left["object_name"], left["class_name"], left["outer_index"], strict=True)}
-        memo: dict[int, tuple] = {}
-        for start in rows:
-            path, i = [], start
-            while i and i in rows and i not in memo and i not in path:
-                path.append(i)
-                i = rows[i][2]
-            broken = "cycle" if i in path else None if not i or i in rows else "lost_parent"
-            for j in reversed(path):
-                name, cls, outer = rows[j]
-                parent = memo.get(outer) if outer else None
-                if broken or parent and parent[0] == "unresolved":
-                    memo[j] = ("unresolved", broken or "parent", None)
-                    continue
-                found = [x for x in by_key.get((str(name).lower(), str(cls).lower()), []) if not outer or parent and parent[2] in (None, x[1])]
-                public = [x for x in found if x[2] & bit]
-                memo[j] = ("resolved", None, public[0][0]) if public else ("missing", "private_export" if found else "no_match", None)
-        keys = list(rows)
-        return pd.DataFrame({"file_id": [left["file_id"].iloc[0]] * len(keys) if len(keys) else [], "index": keys, "outcome": [memo[k][0] for k in keys], "reason": [memo[k][1] for k in keys]})
-
-    a = imports.select("file_id", "index", "object_name", "class_name", "outer_index")
-    b = exports.select("file_id", "index", "object_name", "class_name", "outer_index", F.col("flags").cast("long").alias("flags"))
-    return a.groupBy("file_id").cogroup(b.groupBy("file_id")).applyInPandas(run, "file_id long, index int, outcome string, reason string")

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import name_key
-from ..operators.imports import outer_paths, verify_imports
+from ..operators import verification
+from ..operators.imports import outer_paths
 from ..registry import query
 from ..sources.binary import compact_index_column, encode_compact_index, legacy_header, probe_header, redirect_round_trip
 from ..tables import EDGES_SQL, edges, table
@@ -81,9 +82,16 @@ def outer_chain_paths(spark, sf):
 
 @query()
 def verify_import_outcomes(spark, sf):
-    rows = _imports(spark, sf)
-    exports = rows.where("index % 3 <> 0").withColumn("flags", F.when(F.col("index") % 5 == 0, 0).otherwise(1).cast("long"))
-    return verify_imports(rows, exports.withColumn("file_id", F.col("file_id")), engine=4)
+    """Chains of parents, with cycles, by the rules of engine 4; two thirds of the objects are exported, a fifth of them privately."""
+    rows = _imports(spark, sf).withColumnRenamed("file_id", "pair_id").withColumn("root", F.col("outer_index") == 0)
+    names = rows.select("pair_id", "index", "object_name", F.when(F.col("root"), "Package").otherwise(F.col("class_name")).alias("class_name"), F.lit("Core").alias("class_package"), "outer_index", "root")
+    imports = names.select("pair_id", "index", "object_name", "class_name", "class_package", F.when(F.col("root"), 0).otherwise(-F.col("outer_index") - 1).cast("int").alias("outer_index"), F.lit(True).alias("referenced"))
+    roots = names.where("root").select(F.col("pair_id").alias("p"), F.col("index").alias("i"))
+    below = names.where("NOT root AND index % 3 <> 0")
+    exports = below.join(roots, (F.col("pair_id") == F.col("p")) & (F.col("outer_index") == F.col("i")), "left").select(
+        "pair_id", "index", "object_name", "class_name", "class_package", F.when(F.col("p").isNotNull(), 0).otherwise(F.col("outer_index") + 1).cast("int").alias("outer_index"), F.when(F.col("index") % 5 == 0, 0).otherwise(1).cast("long").alias("flags"),
+    )
+    return verification.verify_imports(imports, exports, engine=4)
 
 
 @query()
@@ -100,3 +108,52 @@ def header_probe(spark, sf):
 @query()
 def redirect_codec(spark, sf):
     return table(spark, sf, "pages").select("page_id", redirect_round_trip(F.col("html")).alias("r")).select("page_id", "r.*")
+
+
+_FLAT = "part_rows AS (SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS pair_id, row_number() OVER (PARTITION BY floor(p_partkey / 40) ORDER BY p_partkey) AS i, p_name, p_type, p_brand, p_size FROM part)"
+
+
+def _flat_pairs(spark, sf):
+    """Forty parts a pair: imports below one root package, exports of two thirds of them, private by their name's length."""
+    p = table(spark, sf, "part").withColumn("pair_id", F.floor(F.col("p_partkey") / 40))
+    p = p.withColumn("i", F.row_number().over(W.partitionBy("pair_id").orderBy("p_partkey")).cast("int"))
+    row = lambda df, i, name, cls, package, outer, *more: df.select("pair_id", i.alias("index"), name.alias("object_name"), cls.alias("class_name"), package.alias("class_package"), outer.alias("outer_index"), *more)
+    own = (F.col("p_name"), F.col("p_type"), F.col("p_brand"))
+    used = F.lit(True).alias("referenced")
+    roots = row(p.where("i = 1"), F.lit(0), F.lit("Provider"), F.lit("Package"), F.lit("Core"), F.lit(0), used)
+    imports = roots.unionByName(row(p, F.col("i"), *own, F.lit(-1), used))
+    bits = F.when(F.length("p_name") % 2 == 0, F.lit((1 << 34) + 1)).otherwise(0).cast("long").alias("flags")
+    return imports, row(p.where("p_size % 3 <> 0"), F.col("i"), *own, F.lit(0), bits)
+
+
+@query(f"""WITH {_FLAT}, e AS (SELECT DISTINCT pair_id, lower(p_name) AS n, lower(p_type) AS t, lower(p_brand) AS b FROM part_rows WHERE p_size % 3 <> 0),
+short AS (SELECT DISTINCT pair_id, n, t FROM e),
+m AS (SELECT r.*, engine, CASE WHEN engine = 4 THEN short.n IS NOT NULL ELSE e.n IS NOT NULL END AS found, length(p_name) % 2 = 0 AS public
+      FROM part_rows r JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS engine) ON true LEFT JOIN e ON r.pair_id = e.pair_id AND lower(p_name) = e.n AND lower(p_type) = t AND lower(p_brand) = b LEFT JOIN short ON r.pair_id = short.pair_id AND lower(p_name) = short.n AND lower(p_type) = short.t)
+SELECT engine, pair_id, i AS index, CASE WHEN found AND public THEN 'resolved' WHEN found THEN 'private_export' WHEN engine >= 4 THEN 'missing' ELSE 'runtime_only' END AS status,
+       CASE WHEN found AND public THEN 1 WHEN found OR engine >= 4 THEN 0 ELSE 4 END AS outcome FROM m
+UNION ALL SELECT engine, pair_id, 0, 'package', 2 FROM (SELECT DISTINCT pair_id FROM part_rows), (SELECT unnest([1, 2, 3, 4, 5]) AS engine)""")
+def import_outcomes_by_engine(spark, sf):
+    imports, exports = _flat_pairs(spark, sf)
+    out = None
+    for engine in verification.RULES:
+        v = verification.verify_imports(imports, exports, engine).select(F.lit(engine).alias("engine"), "pair_id", "index", "status", verification.outcome(F.col("status")).alias("outcome"))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+_KIND = "CASE WHEN l_linenumber % 5 = 0 THEN 'script' WHEN l_linenumber % 7 = 0 THEN 'null' ELSE 'package' END"
+
+
+@query(f"""WITH i AS (SELECT l_orderkey AS file_id, l_linenumber AS index, {_KIND} AS kind, l_partkey AS package_id, l_suppkey % 4 AS export_hash, l_suppkey AS script_id FROM lineitem),
+p AS (SELECT p_partkey AS package_id, min(p_size) AS provider FROM part WHERE p_size % 3 <> 0 GROUP BY p_partkey), x AS (SELECT DISTINCT p_partkey AS package_id, p_size % 4 AS export_hash FROM part WHERE p_size % 3 <> 0), s AS (SELECT DISTINCT s_suppkey AS script_id FROM supplier WHERE s_acctbal >= 0)
+SELECT file_id, index, kind, CASE WHEN kind = 'package' THEN provider END AS provider,
+       CASE WHEN kind = 'script' THEN CASE WHEN s.script_id IS NULL THEN 0 ELSE 1 END WHEN kind = 'null' THEN 4 WHEN x.package_id IS NOT NULL THEN 1 WHEN p.package_id IS NOT NULL THEN 2 ELSE 0 END AS outcome
+FROM i LEFT JOIN p USING (package_id) LEFT JOIN x ON i.package_id = x.package_id AND i.export_hash = x.export_hash LEFT JOIN s ON i.script_id = s.script_id""")
+def hashed_import_outcomes(spark, sf):
+    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part").where("p_size % 3 <> 0")
+    i = line.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("index"), F.expr(_KIND).alias("kind"), F.col("l_partkey").alias("package_id"), (F.col("l_suppkey") % 4).alias("export_hash"), F.col("l_suppkey").alias("script_id"))
+    p = part.select(F.col("p_partkey").alias("package_id"), F.col("p_size").alias("provider"))
+    x = part.select(F.col("p_partkey").alias("package_id"), (F.col("p_size") % 4).cast("long").alias("export_hash"))
+    s = table(spark, sf, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("script_id"))
+    return verification.resolve_hashed(i, p, x, s)
