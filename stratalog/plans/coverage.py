@@ -55,7 +55,7 @@ def package_superset(spark, sf):
     e = edges(spark, sf)
     need = e.where("outcome = 0").select("package").distinct()
     got = e.where("outcome = 1").select(F.col("supplier").alias("provider"), "package").distinct().join(need, "package", "left_semi").groupBy("provider").agg(F.count("*").alias("matched"))
-    return got.join(F.broadcast(need.agg(F.count("*").alias("n"))), how="cross").select("provider", "matched", (F.col("matched") == F.col("n")).alias("superset"))  # one row
+    return got.select("provider", "matched", (F.col("matched") == need.agg(F.count("*")).scalar()).alias("superset"))
 
 
 @query(f"""WITH {EDGES_SQL}, {FILES_SQL}, g AS (SELECT DISTINCT game_id, package FROM edges JOIN files USING (file_id) WHERE outcome = 1 AND size > 200000), u AS (SELECT DISTINCT file_id, package FROM edges WHERE outcome = 0),
@@ -64,10 +64,12 @@ r AS (SELECT file_id, game_id, imports, matches, floor(matches * 1000 / imports)
 SELECT *, CASE WHEN percent >= 75 THEN 'likely' WHEN percent > 0 THEN 'possible' ELSE 'none' END AS assessment FROM r WHERE rank <= 5""")
 def game_match_rank(spark, sf):
     e, f = edges(spark, sf), files(spark, sf)
-    g = e.where("outcome = 1").join(f.where("size > 200000").select("file_id", "game_id"), "file_id").select("game_id", "package").distinct()
-    u = e.where("outcome = 0").select("file_id", "package").distinct()
-    n = u.groupBy("file_id").agg(F.count("*").alias("imports"))
-    m = u.join(g, "package").groupBy("file_id", "game_id").agg(F.count("*").alias("matches")).join(n, "file_id")
+    g = e.where("outcome = 1").join(f.where("size > 200000").select("file_id", "game_id"), "file_id").groupBy("package").agg(F.collect_set("game_id").alias("games"))
+    u = e.where("outcome = 0").groupBy("file_id").agg(F.collect_set("package").alias("packages"))
+    u = u.select("file_id", F.size("packages").cast("long").alias("imports"), F.explode("packages").alias("package"))
+    # a row an import crosses the network; it becomes a row a game only where its file's rows have met
+    m = u.join(g, "package").select("file_id", "imports", "games").repartition("file_id").select("file_id", "imports", F.explode("games").alias("game_id"))
+    m = m.groupBy("file_id", "imports", "game_id").agg(F.count("*").alias("matches"))
     r = m.withColumn("percent", F.floor(F.col("matches") * 1000 / F.col("imports")) / 10).withColumn("rank", F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("matches"), "game_id"))).where("rank <= 5")
     return r.withColumn("assessment", F.when(F.col("percent") >= 75, "likely").when(F.col("percent") > 0, "possible").otherwise("none"))
 
