@@ -141,6 +141,45 @@ def test_lm_base_and_probability(spark):
         assert r.train_tokens == n and (r.n_tokens, r.n_known, round(r.base_score, 4)) in found[r.doc_id] and r.score <= 1e-6
 
 
+def _plain_scores(train, texts):
+    """Interpolated absolute discounting over all n-grams, in dictionaries."""
+    split = lambda t: [None, *(t or "").encode().lower().split(), None]
+    uni, bi, tri = {}, {}, {}
+    for t in train:
+        w = split(t)
+        for i in range(1, len(w)):
+            for d, g in ((uni, w[i]), (bi, (w[i - 1], w[i])), (tri, tuple(w[i - 2 : i + 1]) if i > 1 else None)):
+                d[g] = d.get(g, 0) + 1
+    tri.pop(None, None)
+    n, once, twice = sum(uni.values()), *(sum(c == k for c in uni.values()) for k in (1, 2))
+    d1 = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+    left2 = {a: 1 - sum(c - 0.75 for g, c in bi.items() if g[0] == a) / uni[a] for a in uni}
+    left3 = {g: 1 - sum(c - 0.75 for h, c in tri.items() if h[:2] == g) / bi[g] for g in bi}
+
+    def p1(w):
+        return (uni[w] - d1) / n if w in uni else d1 * len(uni) / n
+
+    def p2(a, w):
+        return max(bi.get((a, w), 0) - 0.75, 0) / uni[a] + left2[a] * p1(w) if a in uni else p1(w)
+
+    def p3(g, w):
+        return max(tri.get((*g, w), 0) - 0.75, 0) / bi[g] + left3[g] * p2(g[1], w) if g in bi else p2(g[1], w)
+
+    return [sum(np.log10(p3((w[i - 2], w[i - 1]), w[i]) if i > 1 else p2(w[0], w[1])) for i in range(1, len(w))) for w in map(split, texts)]
+
+
+def test_lm_keeps_ngrams_that_occur_once(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(words, k=12)), "s") for i in range(12)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _, _ in rows]
+    once = [t for (_, t, _), h in zip(rows, held, strict=True) if not h]
+    rows += [(i, t + " new", "s") for i, t in zip([k for k in range(100, 300) if zlib.crc32(str(k).encode()) % 7 == 2], once, strict=False)]
+    want = dict(zip([r[0] for r in rows], _plain_scores(once, [r[1] for r in rows]), strict=True))
+    for r in ngramlm.score(docs(spark, rows), shards=3).collect():
+        assert abs(r.score - want[r.doc_id]) < 0.02 * r.n_tokens, (r, want[r.doc_id])
+
+
 def test_url_rules(spark):
     rows = [(1, "http://WWW.Example.com/en/a?x"), (2, "https://a.example.com/en/"), (3, "http://b.com"), (4, "http://x.net/es/1"), (5, "http://example.net/de/"), (6, None), (7, "no scheme"), (8, "http://notexample.com/en/"), (9, "a://b.com/q#://c")]
     got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
