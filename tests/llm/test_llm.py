@@ -188,6 +188,43 @@ def test_url_rules(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_scores_equal_exact_counts(spark):
+    rng = random.Random(4)
+    hosts = ["a.com", "b.net", "c.org", "www.example.com", "example.com"]
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr'])}/{rng.getrandbits(60):x}") for i in range(900)] + [(900, "\x00\x02\x03"), (901, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = {r.page_id for r in pages.where("pmod(xxhash64(url), 5L) = 0").collect()}
+    got = {r.page_id: r for r in urlfilter.judge(pages).collect()}
+    allow = {h + p: a for a, h, p in urlfilter.RULES}
+    counts = ({}, {})
+
+    def grams(u):
+        d = b"\x02" * 5 + u.encode() + b"\x03"
+        return [[(d[i - k : i + 1], ("context", d[i - k : i])) for k in range(6)] for i in range(5, len(d))]
+
+    for i, u in rows:
+        if got[i].rule is not None and i not in out:
+            c = counts[allow[got[i].rule]]
+            for x in (x for g in grams(u) for pair in g for x in pair):
+                c[x] = c.get(x, 0) + 1
+
+    def plain(u):
+        total = 0.0
+        for g in grams(u):
+            for sign, c in ((-1, counts[0]), (1, counts[1])):
+                p = 1 / 256
+                for gram, context in g:
+                    p = (c.get(gram, 0) + 2 * p) / (c.get(context, 0) + 2)
+                total += sign * np.log(p)
+        return total / len(grams(u)) if u else 0.0
+
+    means = [np.mean([plain(u) for i, u in rows if i in out and got[i].rule is not None and allow[got[i].rule] == a]) for a in (False, True)]
+    free = [(i, u) for i, u in rows if got[i].rule is None]
+    assert len(free) > 200 and all(counts)
+    for i, u in free:
+        assert abs(got[i].score - plain(u)) < 1e-9 and got[i].verdict == ("allow" if plain(u) >= sum(means) / 2 else "block")
+
+
 def test_toxicity_learns_a_lexicon(spark):
     rng = random.Random(2)
     words = [f"w{chr(97 + i)}{chr(97 + j)}x" for i in range(20) for j in range(20)]
