@@ -37,7 +37,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(read(spark, sf_dir, "documents")).drop("source")
+    return mixing.plan(read(spark, sf_dir, "documents")).drop("source", "at", "slots")  # the columns of its SQL
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

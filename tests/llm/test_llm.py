@@ -1,5 +1,6 @@
 """Small cases of the training-data operators: nulls, empty tables, ties, repeats, clashing columns, brute force."""
 
+import hashlib
 import random
 import zlib
 
@@ -257,3 +258,32 @@ def test_mix_keeps_within_bounds(spark):
         taken.setdefault(r.source, [0, r.target])[0] += r.taken
     assert all(abs(t - target) <= max(8, 0.02 * target) for t, target in taken.values())
     assert abs(sum(t for _, t in taken.values()) - 1.5 * sum(r.size for r in got)) < 1
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_mix_follows_the_slots(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "block_words", lambda total: block)
+    rng = random.Random(block)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), f"s{i % 3}") for i in range(50)]
+    plan = {r.doc_id: r for r in mixing.plan(docs(spark, rows)).collect()}
+    streams, targets = {}, {}
+    for i, t, s in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[0])):
+        streams.setdefault(s, []).extend([i] * len(t.split()))
+        targets[s] = plan[i].target
+    names, whole = sorted(streams), sum(targets.values())
+    highs = [int(sum(targets[x] for x in names[: k + 1]) / whole * 2**32) for k in range(len(names))]
+    ranks, taken, slots = dict.fromkeys(names, 0), {i: 0 for i, _, _ in rows}, {}
+    for slot in range(int(-(-1.5 * sum(map(len, streams.values())) // block))):
+        s = next((n for n, h in zip(names, highs, strict=True) if slot * mixing.GOLDEN % 2**32 < h), None)
+        if s is not None:
+            size, at = len(streams[s]), ranks[s] * block
+            ranks[s] += 1
+            for w in range(at, min(at + block, 2 * size)):
+                i = streams[s][w % size]
+                taken[i] += 1
+                slots.setdefault((i, w // size), (slot, w))
+    assert {i: r.taken for i, r in plan.items()} == taken
+    assert {i: r.slots or [] for i, r in plan.items()} == {i: [slots[i, e][0] for e in range(2) if (i, e) in slots] for i in plan}
+    times = {i: int(taken[i] / plan[i].size + 0.5) if plan[i].size else 0 for i in plan}
+    want = [i for (i, e), _ in sorted(slots.items(), key=lambda x: x[1]) if e < times[i]]
+    assert [r.doc_id for r in mixing.mix(docs(spark, rows)).collect()] == want and len(want) > 50
