@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -147,3 +148,15 @@ def dependency_closure(spark, sf):
     line = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45 AND l_discount > 0.08").select("l_suppkey", "l_orderkey")
     g = line.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return graph.closure(g.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).distinct(), [0])
+
+
+@query()
+def package_closure(spark, sf):
+    """game_id, part, depth: what a game's first package reaches within the game. A part leads to that of the order's next
+    line, over all lines of all orders; the first package is the first line's part of the game's first order."""
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("long").alias("part"))
+    line = line.join(files(spark, sf).select("file_id", F.col("game_id").cast("long").alias("game_id")), "file_id")
+    line = line.withColumn("node", F.shiftleft("game_id", 40) + F.col("part"))
+    edges_ = line.withColumn("dst", F.lead("node").over(W.partitionBy("file_id").orderBy("n", "part"))).where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst").distinct()
+    roots = [r["node"] for r in line.groupBy("game_id").agg(F.min_by("node", F.struct("file_id", "n", "part")).alias("node")).collect()]  # a row a game
+    return graph.closure(edges_, roots).select(F.shiftright("node", 40).alias("game_id"), F.col("node").bitwiseAND((1 << 40) - 1).alias("part"), "depth")

@@ -52,3 +52,24 @@ def test_binary_round_trips():
     for data in [b"", b"a", b"aaaaaaaaaaaaaaaaaaaaaaaa", b"banana" * 50, bytes(range(256)) * 3, b"\x00" * 700]:
         assert binary.decompress(binary.compress(data)) == data
     assert binary.parse_header(b"\x01")["status"] == "truncated"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_package_closure_against_brute_force(spark):
+    read = lambda t, *cols: spark.read.parquet(f"{DATA}/{t}.parquet").select(*cols).collect()
+    nation = dict(map(tuple, read("customer", "c_custkey", "c_nationkey")))
+    game = {o: nation[c] for o, c in map(tuple, read("orders", "o_orderkey", "o_custkey")) if c in nation}
+    lines = sorted((o, n, p) for o, n, p in map(tuple, read("lineitem", "l_orderkey", "l_linenumber", "l_partkey")) if o in game)
+    after, depth = {}, {}
+    for (o, _, p), (o2, _, p2) in zip(lines, lines[1:], strict=False):
+        if o == o2:
+            after.setdefault((game[o], p), set()).add((game[o], p2))
+    for o, _, p in lines:
+        if game[o] not in {g for g, _ in depth}:
+            depth[game[o], p] = 0
+    front = list(depth)
+    while front:
+        front = [y for x in front for y in after.get(x, ()) if depth.setdefault(y, depth[x] + 1) == depth[x] + 1]
+        front = list(dict.fromkeys(front))
+    got = {(r.game_id, r.part): r.depth for r in catalogue.QUERIES["package_closure"](spark, DATA).collect()}
+    assert got == depth and len(got) > 1000
