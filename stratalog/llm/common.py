@@ -19,12 +19,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: the one that the cluster names in spark.checkpoint.dir.
+    """The folder that all executors share: the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a folder of its own is set."""
+    Only where that is unset and all tasks run in this process, as in tests, a folder of its own is set. On a cluster
+    no other place is known to be shared, so it is an error there."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratalog-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratalog-"))
     return sc.getCheckpointDir()
 
 
@@ -32,12 +36,39 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: its rows are computed once and outlive executors."""
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Removes folders of new_folder whose rows are no longer needed."""
+    sc = spark.sparkContext
+    for folder in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read back, and its folder."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df with its rows computed once, in a table that outlives executors. The table stays, as the result reads it later."""
+    return write_table(df, name)[0]
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """left joined to right, which has one row a key, without a task for a hot key.
+
+    Keys with more than 1/share of left's rows are fewer than share by counting, whatever the input; their rows of right
+    are broadcast and left's stay where they are. All other keys are shuffled. left should be a written table, as it is
+    read for the count and for both joins. A null key has no partner."""
+    counts = left.groupBy(on).agg(F.count("*").alias("__n"))
+    total = left.agg(F.count("*")).scalar()
+    hot = counts.where((F.col("__n") * share > total) & F.col(on).isNotNull()).select(on)  # fewer than share rows
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right.join(F.broadcast(hot), on, "left_anti"), on, how)
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    return rest.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))
 
 
 def texts(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -18,12 +18,16 @@ its component's first. So edges grow with fingerprints and never with pairs, and
 least labels and pointer jumping over written tables.
 
 Defined cases: null, empty and blank texts have fingerprint zero, which links like any other; fewer than four words are
-one shingle; repeated rows share their fingerprint and component; a null identifier never names a component unless no
-other is there; no rows give no rows; further columns are ignored by ``near_groups`` and kept by ``keep_one``.
+one shingle; a row's component follows from its text alone, so repeated rows share theirs, and rows of one identifier
+(or of none) with different texts have each their own; a null identifier never names a component unless no other is
+there; no rows give no rows; further columns are ignored by ``near_groups`` and kept by ``keep_one``, which leaves one
+row of each component: that of the smallest identifier (null last), among those the smallest fingerprint, among those
+the smallest SHA-256 of the text; rows that agree in all three are the same document, and any of them stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, byte_lists, materialise, texts
+from .common import batches, byte_lists, join_hot, materialise
 from .components import connected
 
 SHINGLE, SEED, MOST = 4, 42, 4
@@ -219,20 +223,41 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, fp long")
 
 
-def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """doc_id, fingerprint, component_id, n_links (different fingerprints in the component besides its own) of every row."""
-    rows = materialise(fingerprints(docs, ident, text), "simhash")
+def _named(rows: DataFrame, most: int) -> DataFrame:
+    """fp, root (a fingerprint of the component), component_id, n_links for each different fingerprint of rows."""
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     found = connected(edges(distinct.select("fp"), most))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), (F.count("*") - 1).alias("n_links"))
-    named = rooted.join(least, "root").select("fp", "component_id", "n_links")
-    out = rows.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return join_hot(rooted, least, "root").select("fp", "root", "component_id", "n_links")
+
+
+def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """doc_id, fingerprint, component_id, n_links (different fingerprints in the component besides its own) of every row."""
+    rows = materialise(fingerprints(docs, ident, text), "simhash")
+    named = materialise(_named(rows, most), "simhash-named")
+    return join_hot(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """The rows of docs, with their columns, that have the smallest identifier of their component; one for each."""
-    keep = near_groups(docs, ident, text, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k")).distinct()
-    row = texts(docs, text).select("row", F.coalesce(F.col(f"row.{ident}").cast("string"), F.lit("")).alias("k"))
-    return row.join(keep, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+    """The rows of docs, with their columns, that stay: one of each component.
+
+    A row is known by identifier, fingerprint and hash of its text. Fingerprints are computed once, beside these; the
+    rows that stay are found on them alone, and whole rows are then taken by a semi-join."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sha", pa.string())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            datas = byte_lists(batch, 1)
+            found = np.array([fingerprint(x) for x in datas], dtype=np.uint64)
+            yield batches(schema, [batch.column(0), found.view(np.int64), [hashlib.sha256(x).hexdigest() for x in datas]])
+
+    key, sha = F.col(ident).cast("long"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    rows = materialise(docs.select(key, F.col(text)).mapInArrow(run, "doc_id long, fp long, sha string"), "simhash")
+    # one row a fingerprint first: combined before the shuffle, so a text with a third of all rows is one row a task
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "sha")).alias("best"))
+    rooted = best.join(materialise(_named(rows, most), "simhash-named"), "fp")
+    stay = rooted.groupBy("root").agg(F.min(F.struct("best.late", "best.doc_id", "fp", "best.sha")).alias("s")).select(F.coalesce("s.doc_id", F.lit(0)).alias("__i"), F.col("s.late").alias("__l"), F.col("s.sha").alias("__s"))
+    row = docs.select(F.struct("*").alias("row"), F.coalesce(key, F.lit(0)).alias("__i"), key.isNull().alias("__l"), sha.alias("__s"))
+    # rows that agree in all three are one document: they meet in the join's own partitioning
+    return row.join(stay, ["__i", "__l", "__s"], "left_semi").dropDuplicates(["__i", "__l", "__s"]).select("row.*")
