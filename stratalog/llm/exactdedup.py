@@ -9,10 +9,14 @@ crosses the network once a task. When that trie is full, its heaviest subtree is
 shuffle rows come sorted by length and hash; a full trie is emptied where the hash changes, so it never holds more than
 its bound and the texts of one hash, and what waits lies in Spark's own sort, which spills to disk.
 
+Rows find their owner by the SHA-256 of the normalised text, which the terminal nodes give out; a text with over a
+thousandth of all rows is joined by broadcast, of which there are fewer than a thousand.
+
 Defined cases: a null text is an empty one; empty and blank texts are all equal; a null identifier is larger than any
-other; rows that repeat both text and identifier are one document, counted each in group_size, and all marked kept in
-``exact_groups`` while ``keep_owners`` leaves one of them; no rows give no rows; further columns are ignored, and kept
-by ``keep_owners`` whatever they are called.
+other; of rows with equal text and identifier the one with the most code points stays, among those the smallest SHA-256
+of the original text; rows that agree in the original text and identifier are one document, counted each in
+group_size, and all marked kept in ``exact_groups`` while ``keep_owners`` leaves one of them; no rows give no rows;
+further columns are ignored, and kept by ``keep_owners`` whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,23 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, batches, texts
+from .common import BLANKS, batches, join_hot, materialise, texts
 from .patricia import PatriciaTrie
 
 #: Bytes of a task's trie before it spills a subtree.
 TRIE_BYTES = 48 << 20
-_PART = pa.schema([("norm", pa.binary()), ("cp", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("len", pa.int64()), ("hash", pa.int64())])
-_OWNER = pa.schema([("sha", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_PART = pa.schema([("norm", pa.binary()), ("cp", pa.int64()), ("id", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("len", pa.int64()), ("hash", pa.int64())])
+_OWNER = pa.schema([("sha", pa.string()), ("keep_id", pa.int64()), ("raw", pa.binary()), ("group_size", pa.int64())])
 
 
-def _rank(cp: int, ident: int | None) -> tuple:
-    return (-cp, ident is None, ident or 0)
+def _rank(cp: int, ident: int | None, raw: bytes) -> tuple:
+    return (-cp, ident is None, ident or 0, raw)
 
 
 def _merge(a: tuple, b: tuple) -> tuple:
-    """Payloads are (code points, identifier, rows, hash)."""
-    best = a if _rank(a[0], a[1]) <= _rank(b[0], b[1]) else b
-    return (best[0], best[1], a[2] + b[2], a[3])
+    """Payloads are (code points, identifier, SHA-256 of the original, rows, hash)."""
+    best = a if _rank(*a[:3]) <= _rank(*b[:3]) else b
+    return (*best[:3], a[3] + b[3], a[4])
 
 
 def _rows(schema: pa.Schema, rows: Iterator[tuple], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -60,12 +64,11 @@ def _combine(bound: int):
         trie = PatriciaTrie(_merge)
 
         def out(found):
-            return ((key, p[0], p[1], p[2], len(key), p[3]) for key, p in found)
+            return ((key, *p[:4], len(key), p[4]) for key, p in found)
 
         for batch in it:
-            norm, cp, ident, h = (batch.column(i).to_pylist() for i in range(4))
-            for row in zip(norm, cp, ident, h, strict=True):
-                trie.insert(row[0], (row[1], row[2], 1, row[3]))
+            for norm, cp, ident, raw, h in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                trie.insert(norm, (cp, ident, raw, 1, h))
                 while trie.size > bound and trie.by_first:
                     yield from _rows(_PART, out(trie.evict()))
         yield from _rows(_PART, out(trie.items()))
@@ -78,15 +81,15 @@ def _own(bound: int):
         trie, last = PatriciaTrie(_merge), None
 
         def out():
-            return ((hashlib.sha256(key).hexdigest(), p[1], p[2]) for key, p in trie.items())
+            return ((hashlib.sha256(key).hexdigest(), p[1], p[2], p[3]) for key, p in trie.items())
 
         for batch in it:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for norm, cp, ident, n, length, h in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for norm, cp, ident, raw, n, length, h in zip(*cols, strict=True):
                 if trie.size > bound and (length, h) != last:
                     yield from _rows(_OWNER, out())
                     trie = PatriciaTrie(_merge)
-                trie.insert(norm, (cp, ident, n, h))
+                trie.insert(norm, (cp, ident, raw, n, h))
                 last = (length, h)
         yield from _rows(_OWNER, out())
 
@@ -97,23 +100,32 @@ def normalised(t) -> F.Column:
     return F.translate(t, BLANKS, "")
 
 
+def _digest(t) -> F.Column:
+    return F.unhex(F.sha2(t.cast("binary"), 256))
+
+
 def owners(docs: DataFrame, ident: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """One row (sha, keep_id, group_size) for each different text."""
-    norm = texts(docs, text).select(normalised(F.col("t")).alias("norm"), F.length("t").cast("long").alias("cp"), F.col(f"row.{ident}").cast("long").alias("id"))
-    norm = norm.select(F.col("norm").cast("binary").alias("norm"), "cp", "id", F.xxhash64("norm").alias("hash"))
-    parts = norm.mapInArrow(_combine(trie_bytes), "norm binary, cp long, id long, n long, len long, hash long")
+    """One row (sha, keep_id, raw, group_size) for each different text; raw: SHA-256 of the owner's original text."""
+    norm = texts(docs, text).select(normalised(F.col("t")).alias("norm"), F.length("t").cast("long").alias("cp"), F.col(f"row.{ident}").cast("long").alias("id"), _digest(F.col("t")).alias("raw"))
+    norm = norm.select(F.col("norm").cast("binary").alias("norm"), "cp", "id", "raw", F.xxhash64("norm").alias("hash"))
+    parts = norm.mapInArrow(_combine(trie_bytes), "norm binary, cp long, id long, raw binary, n long, len long, hash long")
     parts = parts.repartition("len", "hash").sortWithinPartitions("len", "hash")
-    return parts.mapInArrow(_own(trie_bytes), "sha string, keep_id long, group_size long")
+    return parts.mapInArrow(_own(trie_bytes), "sha string, keep_id long, raw binary, group_size long")
 
 
 def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    rows = texts(docs, text).select(F.col(f"row.{ident}").cast("long").alias("doc_id"), F.sha2(normalised(F.col("t")).cast("binary"), 256).alias("sha"))
-    return rows.join(owners(docs, ident, text, trie_bytes), "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = texts(docs, text).select(F.col(f"row.{ident}").cast("long").alias("doc_id"), F.sha2(normalised(F.col("t")).cast("binary"), 256).alias("sha"), _digest(F.col("t")).alias("own"))
+    out = join_hot(materialise(rows, "exact-rows"), materialise(owners(docs, ident, text, trie_bytes), "exact-owners"), "sha")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("raw"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_owners(docs: DataFrame, ident: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """The rows of docs, with their columns, that own their text; one for each different text."""
-    rows = texts(docs, text).select("row", F.coalesce(F.col(f"row.{ident}").cast("string"), F.lit("")).alias("k"), F.sha2(normalised(F.col("t")).cast("binary"), 256).alias("sha"))
-    own = owners(docs, ident, text, trie_bytes).select(F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("k"), "sha")
-    return rows.join(own, ["k", "sha"]).dropDuplicates(["k", "sha"]).select("row.*")
+    """The rows of docs, with their columns, that own their text; one for each different text.
+
+    An owner is known by its identifier and original text, so rows meet owners without their copies."""
+    key = F.col(f"row.{ident}").cast("long")
+    rows = texts(docs, text).select("row", F.coalesce(key, F.lit(0)).alias("i"), key.isNull().alias("l"), _digest(F.col("t")).alias("raw"))
+    own = owners(docs, ident, text, trie_bytes).select(F.coalesce("keep_id", F.lit(0)).alias("i"), F.col("keep_id").isNull().alias("l"), "raw")
+    return rows.join(own, ["i", "l", "raw"], "left_semi").dropDuplicates(["i", "l", "raw"]).select("row.*")
