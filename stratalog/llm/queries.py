@@ -52,10 +52,10 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
-WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS cp, sha256(coalesce(text, '')) AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
-FROM n WINDOW w AS (PARTITION BY norm ORDER BY cp DESC, doc_id ASC NULLS LAST)
+       doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AND raw = first_value(raw) OVER w AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY norm ORDER BY cp DESC, doc_id ASC NULLS LAST, raw)
 """,
     "op8_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
@@ -66,12 +66,7 @@ s3 AS (SELECT *, (total - coalesce(sum(cap) OVER p, 0)::DOUBLE) / ((sum(weight)
        FROM s2 WINDOW p AS (ORDER BY cap::DOUBLE / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, cap::DOUBLE <= level * weight AS stops FROM s3),
 s5 AS (SELECT *, CASE WHEN stops THEN cap::DOUBLE ELSE weight * (SELECT arg_min(level, (cap::DOUBLE / weight, pos)) FROM s4 WHERE NOT stops) END AS target FROM s4),
-s6 AS (SELECT *, coalesce(floor(sum(target) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) / nullif(sum(target) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) * 4294967296), 0)::BIGINT AS hi FROM s5),
-s7 AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY pos), 0) AS lo FROM s6),
-b AS (SELECT coalesce(greatest(1, least(4096, floor(max(total) / 131072))), 1)::BIGINT AS block, coalesce(max(total), 0) AS total FROM s7),
-k AS (SELECT ((slot::HUGEINT * 2654435769) % 4294967296)::BIGINT AS x FROM (SELECT unnest(range(ceil(total / block)::BIGINT)) AS slot FROM b)),
-c AS (SELECT s7.pos, count(*) AS n FROM k ASOF JOIN (SELECT * FROM s7 WHERE hi > lo) AS s7 ON k.x >= s7.lo WHERE k.x < s7.hi GROUP BY s7.pos),
-e AS (SELECT s7.source, s7.source_size, s7.target, least(coalesce(c.n, 0) * b.block, s7.cap) AS stop FROM s7 LEFT JOIN c USING (pos), b),
+e AS (SELECT source, source_size, target, floor(target + 0.5)::BIGINT AS stop FROM s5),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM d)
 SELECT o.doc_id, o.size, e.source_size, e.target,
        (greatest(0, least(stop - pos0, size)) + greatest(0, least(stop - pos0 - source_size, size)))::BIGINT AS taken
