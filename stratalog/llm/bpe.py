@@ -19,6 +19,7 @@ own, so repeats and ties are equal; no rows give no rows; further columns are ig
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import sys
 from array import array
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-#: Entries of a worker's tables of chunks and of fragments before they are emptied.
+#: Entries of a worker's tables of chunks and of fragments before they become the older generation, which is looked at on
+#: a miss and dropped when the next one is full: so words in use stay, in bounded memory.
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-CHUNKS = 400_000
+CHUNKS = 500_000
 FRAGMENTS = 100_000
+#: Chunks that are looked up in one go.
+PARTS = 4096
 #: Characters that str.split() and the library's \s may judge differently within Latin-1.
 _ODD = re.compile("[\x1c-\x1f\x80-\xa0]")
 #: Chunks whose pre-tokens are found without the library: Latin letters, digits and marks, without apostrophes (which may
@@ -81,11 +85,13 @@ class Codec:
         bare = [t[: -len(end)] if end and t.endswith(end) else t for t in vocab]
         self.inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_start = os.path.commonprefix(list(self.special))  # what a text must hold for a special token to be in it
         self.names = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte alphabet writes as themselves
         hidden = [b for b in range(256) if b not in visible]
         self.alphabet = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fragments: dict[str, list[int]] = {}
         self.finals: dict[str, list[int]] = {}
 
@@ -97,7 +103,10 @@ class Codec:
 
     def word(self, piece: str) -> list[int]:
         """Identifiers of one pre-token in the byte alphabet."""
-        inside, start, ids = self.inside, 0, []
+        inside = self.inside
+        if inside.issuperset(map(add, piece, piece[1:])):  # no cut: most words
+            return self.finals.get(piece) or self._tokenize(piece, self.finals, self.last)
+        start, ids = 0, []
         for i, pair in enumerate(map(add, piece, piece[1:]), 1):
             if pair not in inside:
                 cut = piece[start:i]
@@ -114,11 +123,18 @@ class Codec:
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self._pieces(chunk):
-            ids += self.word(piece)
         if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
+            self.chunks, self.older = {}, self.chunks
+        got = self.older.get(chunk)
+        if got is not None:
+            self.chunks[chunk] = got
+            return got
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.word(chunk)
+        else:
+            ids = []
+            for piece in self._pieces(chunk):
+                ids += self.word(piece)
         got = self.chunks[chunk] = array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
         return got
 
@@ -127,12 +143,15 @@ class Codec:
             parts = text.lower().split()
         else:
             parts = [p for p in self.library.normalizer.normalize_str(text).split(" ") if p]
-        get, chunk = self.chunks.get, self._chunk
-        return [get(p) or chunk(p) for p in parts]
+        chunk, found = self._chunk, []
+        for i in range(0, len(parts), PARTS):
+            get = self.chunks.get  # the table may have been changed for a new one
+            found += [get(p) or chunk(p) for p in parts[i : i + PARTS]]
+        return found
 
     def encode(self, text: str) -> bytes:
         """Identifiers as little-endian unsigned 32-bit integers."""
-        if self.cut_special and "<|" in text and self.cut_special.search(text):
+        if self.cut_special and self.special_start in text and self.cut_special.search(text):
             found = []
             for part in self.cut_special.split(text):
                 if part in self.special:
