@@ -44,6 +44,16 @@ def remove(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def store(uri: str):
+    """The pyarrow file system of a URI that executors share, and the path in it."""
+    from pyarrow import fs
+
+    scheme, sep, rest = uri.partition("://")
+    if sep:
+        return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+    return fs.FileSystem.from_uri(uri if uri.startswith("file:") else f"file://{uri}")
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read back, and its folder."""
     spark = df.sparkSession

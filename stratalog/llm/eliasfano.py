@@ -8,6 +8,8 @@ import uuid
 
 import numpy as np
 
+from .common import store
+
 
 def _select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The place of the k-th set bit (from 0) of each word."""
@@ -121,14 +123,12 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
             f.writelines(parts)
         os.replace(trial, path)
         return
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(uri)
+    files, name = store(uri)
     trial = f"{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(trial) as f:
+    with files.open_output_stream(trial) as f:
         for x in parts:
             f.write(x)
-    store.move(trial, name)
+    files.move(trial, name)
 
 
 def read_arrays(uri: str) -> dict[str, np.ndarray]:
@@ -137,10 +137,8 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     if path is not None:
         raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     else:
-        from pyarrow import fs
-
-        store, name = fs.FileSystem.from_uri(uri)
-        with store.open_input_stream(name) as f:
+        files, name = store(uri)
+        with files.open_input_stream(name) as f:
             raw = np.frombuffer(f.read(), np.uint8)
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head, base = json.loads(raw[8 : 8 + n].tobytes()), 8 + n + -(8 + n) % 8

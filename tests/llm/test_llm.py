@@ -120,6 +120,24 @@ def test_shard_lookup(tmp_path):
         assert r.get(-50) == [b""] and r.get(-49) == [] and sorted(r.get(1447)) == sorted([v for k, v in rows if k == 1447]) and r.get(None) == [b""]
 
 
+def test_shards_against_the_library(spark):
+    rows = [r for r in some(spark) if r[0] is not None and r[0] != 64] + [(70000, "x", "s"), (-5, "first", "s")]
+    library = bpe.codec(bpe.vocabulary_path()).library
+    table = docs(spark, rows)
+    want, ids, start = [], {}, 0
+    for i, t, _ in sorted(rows, key=lambda r: r[0]):
+        ids[i] = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        want.append((i, start, len(ids[i]) // 4, zlib.crc32(ids[i])))
+        start += len(ids[i]) // 4
+    assert sorted(map(tuple, sstable.round_trip(table).collect())) == want
+    manifest = sstable.write_shards(table, sstable.new_folder(spark, "sst"), shard_bytes=20_000)
+    assert manifest.count() > 6
+    wanted = spark.createDataFrame([(i,) for i in (-5, 0, 3, 3, 64, 65, 70000, 99999, None)], "doc_id long")
+    assert {r.doc_id: bytes(r.ids) for r in sstable.lookup(manifest, wanted).collect()} == {i: ids[i] for i in (-5, 0, 3, 65, 70000)}
+    double = sstable.write_shards(docs(spark, [(4, f"text {k}", "s") for k in range(30)] + [(None, "none", "s")]), sstable.new_folder(spark, "sst"))
+    assert sstable.lookup(double, spark.createDataFrame([(4,), (None,)], "doc_id long")).count() == 31
+
+
 def test_elias_fano():
     for vals in (np.zeros(0, np.uint64), np.array([0, 5, 2**63, 2**64 - 1], np.uint64), np.unique(np.random.default_rng(1).integers(0, 2**40, 3000, dtype=np.uint64))):
         e = eliasfano.EliasFano(eliasfano.EliasFano.build(vals))
