@@ -1,11 +1,11 @@
 """BPE encoding and decoding with forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be merged over, so it marks a cut: what lies on its two
-sides can be encoded on its own and the identifiers set end to end. Two kinds of pair are cut at. A pair whose second
-byte is a blank occurs in no token, so a text falls apart at its blanks; and inside a word, in the byte alphabet of the
-vocabulary, each pair outside the set of pairs seen in tokens is a cut. Fragments are encoded by the merges of the public
-vocabulary file (the word-end mark goes to the last fragment of a word alone) and kept in a table of bounded size, as
-are the results of whole blank-free chunks, which repeat often.
+sides can be encoded on its own and the identifiers set end to end. Two kinds of pair are cut at. A pair with a blank, or
+of characters that the file's own pattern parts, occurs in no token, so a text falls apart into pre-tokens; and inside
+these, in the byte alphabet of the vocabulary, each pair outside the set of pairs seen in tokens is a cut. Fragments are
+encoded by the merges of the public vocabulary file (the word-end mark goes to the last fragment of a pre-token alone).
+They are kept in tables of bounded size, as are the results of whole pre-tokens, which repeat often.
 
 The result equals that of the tokenizers library for the vocabulary file given, special tokens written in the text
 included; their strings are cut out of the text before anything else, as the library does. Decoding joins the tokens of
@@ -33,20 +33,21 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-#: Entries of a worker's tables of chunks and of fragments before they become the older generation, which is looked at on
-#: a miss and dropped when the next one is full: so words in use stay, in bounded memory.
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-CHUNKS = 500_000
+#: Entries of a worker's table of pre-tokens before it becomes the older generation, which is looked at on a miss and
+#: dropped when the next one is full: so words in use stay, in bounded memory.
+PIECES = 500_000
+#: Entries of the tables of fragments and of pre-tokens outside Latin-1 before they are emptied.
 FRAGMENTS = 100_000
-#: Chunks that are looked up in one go.
+#: Pre-tokens that are looked up in one go.
 PARTS = 4096
-#: Characters that str.split() and the library's \s may judge differently within Latin-1.
+#: Blanks of the library's \s beyond the six common ones, within Latin-1, and controls that it may judge differently.
 _ODD = re.compile("[\x1c-\x1f\x80-\xa0]")
-#: Chunks whose pre-tokens are found without the library: Latin letters, digits and marks, without apostrophes (which may
-#: start an ending of their own). Letters and numbers of Latin-1 are fixed values of Unicode.
+#: The pre-tokens of a text in Latin-1, for files that split by _PATTERN. Letters and numbers of Latin-1 and the endings
+#: after an apostrophe are fixed values.
 _LETTERS, _DIGITS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_LATIN = re.compile("[!-&(-~\u00a1-\u00ff]+")
-_PIECE = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+_LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^ \t-\r{_LETTERS}{_DIGITS}]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -90,10 +91,12 @@ class Codec:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte alphabet writes as themselves
         hidden = [b for b in range(256) if b not in visible]
         self.alphabet = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.spelled: dict[str, bytes] = {}
         self.fragments: dict[str, list[int]] = {}
-        self.finals: dict[str, list[int]] = {}
+        split = json.dumps(spec["pre_tokenizer"])
+        self.latin = json.dumps(_PATTERN) in split and [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
 
     def _tokenize(self, text: str, table: dict, model) -> list[int]:
         if len(table) >= FRAGMENTS:
@@ -105,7 +108,7 @@ class Codec:
         """Identifiers of one pre-token in the byte alphabet."""
         inside = self.inside
         if inside.issuperset(map(add, piece, piece[1:])):  # no cut: most words
-            return self.finals.get(piece) or self._tokenize(piece, self.finals, self.last)
+            return [t.id for t in self.last.tokenize(piece)]
         start, ids = 0, []
         for i, pair in enumerate(map(add, piece, piece[1:]), 1):
             if pair not in inside:
@@ -113,42 +116,40 @@ class Codec:
                 ids += self.fragments.get(cut) or self._tokenize(cut, self.fragments, self.inner)
                 start = i
         cut = piece[start:] if start else piece
-        return ids + (self.finals.get(cut) or self._tokenize(cut, self.finals, self.last))
-
-    def _pieces(self, chunk: str) -> list[str]:
-        if _LATIN.fullmatch(chunk):
-            if chunk.isascii():
-                return _PIECE.findall(chunk)
-            return [p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet) for p in _PIECE.findall(chunk)]
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
-
-    def _chunk(self, chunk: str) -> bytes:
-        if len(self.chunks) >= CHUNKS:
-            self.chunks, self.older = {}, self.chunks
-        got = self.older.get(chunk)
-        if got is not None:
-            self.chunks[chunk] = got
-            return got
-        if chunk.isascii() and chunk.isalpha():
-            ids = self.word(chunk)
-        else:
-            ids = []
-            for piece in self._pieces(chunk):
-                ids += self.word(piece)
-        got = self.chunks[chunk] = array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
+        return ids + [t.id for t in self.last.tokenize(cut)]
+
+    def _new(self, piece: str) -> bytes:
+        """A pre-token that isn't in the newer table."""
+        if len(self.pieces) >= PIECES:
+            self.pieces, self.older = {}, self.pieces
+        got = self.older.get(piece)
+        if got is None:
+            ids = self.word(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet))
+            got = array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
+        self.pieces[piece] = got
         return got
 
     def _plain(self, text: str) -> list[bytes]:
-        if _latin(text) and not _ODD.search(text):  # composed already, and lower() works by single characters
-            parts = text.lower().split()
+        new, found = self._new, []
+        if self.latin and _latin(text) and not _ODD.search(text):  # composed already, and lower() works by single characters
+            parts = _LATIN.findall(text.lower())
         else:
-            parts = [p for p in self.library.normalizer.normalize_str(text).split(" ") if p]
-        chunk, found = self._chunk, []
+            normal = self.library.normalizer.normalize_str(text)
+            return [self._spelled(p) for chunk in normal.split(" ") if chunk for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         for i in range(0, len(parts), PARTS):
-            get = self.chunks.get  # the table may have been changed for a new one
-            found += [get(p) or chunk(p) for p in parts[i : i + PARTS]]
+            get = self.pieces.get  # the table may have been changed for a new one
+            found += [get(p) or new(p) for p in parts[i : i + PARTS]]
         return found
 
+    def _spelled(self, piece: str) -> bytes:
+        """A pre-token in the byte alphabet."""
+        got = self.spelled.get(piece)
+        if got is None:
+            if len(self.spelled) >= FRAGMENTS:
+                self.spelled.clear()
+            got = self.spelled[piece] = np.array(self.word(piece), "<u4").tobytes()
+        return got
+
     def encode(self, text: str) -> bytes:
         """Identifiers as little-endian unsigned 32-bit integers."""
         if self.cut_special and self.special_start in text and self.cut_special.search(text):
