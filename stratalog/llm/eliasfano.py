@@ -11,6 +11,9 @@ import numpy as np
 from .common import store
 
 
+_AT_ONCE = 1 << 17
+
+
 def _select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The place of the k-th set bit (from 0) of each word."""
     place, k = np.zeros(len(x), np.int64), k.astype(np.int64)
@@ -29,7 +32,7 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str = ""):
         self.n, self.l = (int(x) for x in arrays[prefix + "meta"])
-        self.low, self.high, self.ones = arrays[prefix + "low"], arrays[prefix + "high"], arrays[prefix + "ones"]
+        self.low, self.high, self.ones, self.zeros = (arrays[prefix + k] for k in ("low", "high", "ones", "zeros"))
         self.mask = np.uint64((1 << self.l) - 1)
 
     @staticmethod
@@ -38,15 +41,19 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         l = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = np.unpackbits(values.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :l].ravel() if l and n else np.zeros(0, np.uint8)
-        words = len(bits) // 64 + 2
-        low = np.packbits(np.r_[bits, np.zeros(words * 64 - len(bits), np.uint8)], bitorder="little").view(np.uint64)
+        low = np.zeros(n * l // 64 + 2, np.uint64)
+        for at in range(0, n if l else 0, _AT_ONCE):  # as many bits as fill whole words
+            bits = np.unpackbits(values[at : at + _AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :l].ravel()
+            packed = np.packbits(bits, bitorder="little")
+            low.view(np.uint8)[at * l // 8 : at * l // 8 + len(packed)] = packed
         place = (values >> np.uint64(l)).astype(np.int64) + np.arange(n)
         flags = np.zeros(((int(place[-1]) if n else 0) // 64 + 2) * 64, np.uint8)
         flags[place] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
         ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        return {prefix + "meta": np.array([n, l], np.int64), prefix + "low": low, prefix + "high": high, prefix + "ones": ones}
+        zeros = np.arange(1, len(high) + 1, dtype=np.int64) * 64 - ones
+        kind = np.uint32 if 64 * len(high) < 1 << 32 else np.int64
+        return {prefix + "meta": np.array([n, l], np.int64), prefix + "low": low, prefix + "high": high, prefix + "ones": ones.astype(kind), prefix + "zeros": zeros.astype(kind)}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -57,33 +64,31 @@ class EliasFano:
         return (self.low[word] >> off | spill) & self.mask
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        upto = self.ones if ones else self._zeros()
-        word = np.searchsorted(upto, k, side="right")
-        before = np.where(word > 0, upto[np.maximum(word - 1, 0)], 0)
+        upto = self.ones if ones else self.zeros
+        word = np.searchsorted(upto, k.astype(upto.dtype), side="right")
+        before = np.where(word > 0, upto[np.maximum(word - 1, 0)].astype(np.int64), 0)
         bits = self.high[word]
         return word * 64 + _select_in_word(bits if ones else ~bits, k - before)
 
-    def _zeros(self) -> np.ndarray:
-        if not hasattr(self, "zeros"):
-            self.zeros = np.arange(1, len(self.ones) + 1, dtype=np.int64) * 64 - self.ones
-        return self.zeros
-
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
         high = (self._select(i, True) - i).astype(np.uint64)
         return high << np.uint64(self.l) | self._low(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Where each value stands, or -1: its bucket by the unary part, then by halving."""
+    def find(self, values: np.ndarray, first: np.ndarray | int = 0, stop: np.ndarray | None = None) -> np.ndarray:
+        """Where each value stands among the places from first to below stop, or -1: its bucket by the unary part, cut to
+        these places, then halving."""
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
         h = values >> np.uint64(self.l)
-        ok = np.flatnonzero(h < np.uint64(int(self._zeros()[-1])))
+        ok = np.flatnonzero(h < np.uint64(int(self.zeros[-1])))
         h, want = h[ok].astype(np.int64), values[ok] & self.mask
         low, later = np.zeros(len(h), np.int64), h > 0
         low[later] = self._select(h[later] - 1, False) - (h[later] - 1)
         high = np.minimum(self._select(h, False) - h, self.n)
+        if stop is not None:
+            low, high = np.maximum(low, first[ok]), np.minimum(high, stop[ok])
         some = high > low
         ok, want, low, high = ok[some], want[some], low[some], high[some]
         while len(ok):

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -160,6 +161,28 @@ def test_lm_base_and_probability(spark):
         assert r.train_tokens == n and (r.n_tokens, r.n_known, round(r.base_score, 4)) in found[r.doc_id] and r.score <= 1e-6
 
 
+def _plain_spelling(train):
+    """Log10 probability of a spelling from the words that occur once, in dictionaries."""
+    counts = {}
+    for t in train:
+        for w in (t or "").encode().lower().split():
+            counts[w] = counts.get(w, 0) + 1
+    n3, n2, n1 = {}, {}, {}
+    for w in (w for w, c in counts.items() if c == 1):
+        c = [256, 256, *w, 256]
+        for i in range(2, len(c)):
+            for d, g in ((n3, tuple(c[i - 2 : i + 1])), (n2, (c[i - 1], c[i])), (n1, c[i])):
+                d[g] = d.get(g, 0) + 1
+    whole = sum(n1.values())
+
+    def p(a, b, c):
+        p1 = (n1.get(c, 0) + 1) / (whole + 257)
+        p2 = (n2.get((b, c), 0) + 2 * p1) / (sum(k for g, k in n2.items() if g[0] == b) + 2)
+        return (n3.get((a, b, c), 0) + 2 * p2) / (sum(k for g, k in n3.items() if g[:2] == (a, b)) + 2)
+
+    return lambda w: sum(np.log10(p(*c)) for c in zip([256, 256, *w], [256, *w], [*w, 256], strict=False))
+
+
 def _plain_scores(train, texts):
     """Interpolated absolute discounting over all n-grams, in dictionaries."""
     split = lambda t: [None, *(t or "").encode().lower().split(), None]
@@ -174,6 +197,7 @@ def _plain_scores(train, texts):
     d1 = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
     left2 = {a: 1 - sum(c - 0.75 for g, c in bi.items() if g[0] == a) / uni[a] for a in uni}
     left3 = {g: 1 - sum(c - 0.75 for h, c in tri.items() if h[:2] == g) / bi[g] for g in bi}
+    spelling = _plain_spelling(train)
 
     def p1(w):
         return (uni[w] - d1) / n if w in uni else d1 * len(uni) / n
@@ -184,19 +208,52 @@ def _plain_scores(train, texts):
     def p3(g, w):
         return max(tri.get((*g, w), 0) - 0.75, 0) / bi[g] + left3[g] * p2(g[1], w) if g in bi else p2(g[1], w)
 
-    return [sum(np.log10(p3((w[i - 2], w[i - 1]), w[i]) if i > 1 else p2(w[0], w[1])) for i in range(1, len(w))) for w in map(split, texts)]
+    def token(w, i):
+        return np.log10(p3((w[i - 2], w[i - 1]), w[i]) if i > 1 else p2(w[0], w[1])) + (0 if w[i] in uni else spelling(w[i]))
+
+    return [sum(token(w, i) for i in range(1, len(w))) for w in map(split, texts)]
 
 
-def test_lm_keeps_ngrams_that_occur_once(spark):
+@pytest.mark.parametrize("shards", [1, 3, 7])
+def test_lm_scores_against_dictionaries(spark, shards):
+    """Unquantised counts, with n-grams that occur once and hot contexts over several shards."""
     rng = random.Random(8)
-    words = [f"w{i}" for i in range(30)]
-    rows = [(i, " ".join(rng.choices(words, k=12)), "s") for i in range(12)]
+    words = [f"w{i}" for i in range(30)] + ["the"] * 40
+    rows = [(i, " ".join(rng.choices(words, k=12)) + f" only{i}", "s") for i in range(60)]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _, _ in rows]
-    once = [t for (_, t, _), h in zip(rows, held, strict=True) if not h]
-    rows += [(i, t + " new", "s") for i, t in zip([k for k in range(100, 300) if zlib.crc32(str(k).encode()) % 7 == 2], once, strict=False)]
-    want = dict(zip([r[0] for r in rows], _plain_scores(once, [r[1] for r in rows]), strict=True))
-    for r in ngramlm.score(docs(spark, rows), shards=3).collect():
+    train = [t for (_, t, _), h in zip(rows, held, strict=True) if not h]
+    rows += [(i, t + " new Onlyx", "s") for i, t in zip([k for k in range(100, 300) if zlib.crc32(str(k).encode()) % 7 == 2], train, strict=False)]
+    want = dict(zip([r[0] for r in rows], _plain_scores(train, [r[1] for r in rows]), strict=True))
+    for r in ngramlm.score(docs(spark, rows), shards=shards).collect():
         assert abs(r.score - want[r.doc_id]) < 0.02 * r.n_tokens, (r, want[r.doc_id])
+    if shards > 1:
+        folder = ngramlm.new_folder(spark, "ngrams")
+        info = ngramlm.train(spark.createDataFrame([(t,) for t in train], "t string"), folder, shards)
+        assert max(info["hot2"]["parts"]) > 1 and (shards < 7 or len(info["hot2"]["ids"]) > 1 and len(info["hot3"]["ids"]) > 0)
+
+
+def test_lm_takes_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=300)), "s") for i in range(12)] + [(50, "a " + "x" * 5_000 + " b c", "s")]
+    whole = {r.doc_id: r for r in ngramlm.score(docs(spark, rows), shards=2).collect()}
+    for chunk in (40, 1000):
+        monkeypatch.setattr(ngramlm, "CHUNK", chunk)
+        parts = list(ngramlm.pieces(rows[0][1].encode()))
+        assert len(parts) > 1 and sum(len(p.split()) - lead for p, lead, _ in parts) == 300
+        lv_rows = []
+        for _, first, n, tok, final in ngramlm.chunks(iter([pa.RecordBatch.from_pydict({"t": [r[1] for r in rows]})]), 0):
+            lv_rows.append((first, int(tok.counted.sum()), final))
+        assert sum(n for _, n, _ in lv_rows) == sum(r.n_tokens for r in whole.values())
+        monkeypatch.undo()
+    monkeypatch.setattr(ngramlm, "CHUNK", 500)
+    folder = ngramlm.new_folder(spark, "ngrams")
+    info = ngramlm.train(spark.createDataFrame([(t,) for _, t, _ in rows], "t string"), folder, 2)
+    lv = ngramlm.Levels(folder, info, 3)
+    for _, t, _ in rows[:12]:
+        split = [ngramlm._score(lv, ngramlm.Tokens([p], lead, final)) for p, lead, final in ngramlm.pieces(t.encode())]
+        one = ngramlm._score(lv, ngramlm.Tokens([t.encode()]))
+        assert len(split) > 1 and all(abs(sum(x[k][0] for x in split) - one[k][0]) < 1e-6 for k in range(4))
 
 
 def test_url_rules(spark):
