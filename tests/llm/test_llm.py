@@ -301,6 +301,46 @@ def test_url_scores_equal_exact_counts(spark):
         assert abs(got[i].score - plain(u)) < 1e-9 and got[i].verdict == ("allow" if plain(u) >= sum(means) / 2 else "block")
 
 
+def test_label_model_recovers_rates_of_both_polarities(spark):
+    rng = np.random.default_rng(4)
+    y = rng.random(4000) < 0.2
+    p1, p0 = np.array([0.7, 0.6, 0.5, 0.8, 0.1, 0.05]), np.array([0.02, 0.05, 0.01, 0.03, 0.5, 0.6])
+    fires = rng.random((4000, 6)) < np.where(y[:, None], p1, p0)
+    fires = np.c_[fires[:, :4], fires[:, 3], fires[:, 4:]]  # a voter that copies the fourth
+    rows = [([int(i) for i in np.flatnonzero(f)],) for f in fires]
+    ballots = spark.createDataFrame(rows, "votes array<int>").groupBy("votes").count().withColumnRenamed("count", "n")
+    model = toxicity.fit_labels(ballots, toxicity.LabelModel(7, 5, 0.2))
+    assert np.abs(model.p1[:7] - np.r_[p1[:4], p1[3], p1[4:]]).max() < 0.15 and np.abs(model.p0[:7] - np.r_[p0[:4], p0[3], p0[4:]]).max() < 0.1
+    assert (model.weight[3:5] < 0.75).all() and (model.weight[[0, 1, 2, 5, 6, 7]] > 0.95).all()
+    flat, at = np.array([i for (v,) in rows for i in v]), np.r_[0, np.cumsum([len(v) for (v,) in rows])]
+    assert ((model.posterior(flat, at) > 0.5) == y).mean() > 0.9
+    # a round's sums, in dictionaries
+    post, want = model.posterior(flat, at), np.zeros((2, 9))
+    for (v,), q in zip(rows, post, strict=True):
+        for i in [*v, *([7] if all(x >= 5 for x in v) else []), 8]:
+            want[:, i] += q, 1 - q
+    assert np.allclose(model.sums(flat, at, np.ones(4000, np.int64)), want)
+    key, both = model.together(flat, at, np.ones(4000, np.int64))
+    assert {divmod(int(k), 7): round(float(b), 6) for k, b in zip(key, both[0], strict=True)} == {(i, j): round(float(post[fires[:, i] & fires[:, j]].sum()), 6) for i in range(7) for j in range(i + 1, 7) if (fires[:, i] & fires[:, j]).any()}
+
+
+def test_linear_classifier_against_plain_descent():
+    rng = np.random.default_rng(6)
+    x = (rng.random((3000, 3)) < 0.4).astype(np.float32)
+    y = 1 / (1 + np.exp(-(x @ np.array([2.0, -1.0, 0.5]) - 0.7)))
+    w = toxicity.train_linear(x, y, np.ones(3000), ridge=0.0)
+    assert np.allclose(w, [2.0, -1.0, 0.5, -0.7], atol=1e-3)
+    v, full = np.zeros(4), np.c_[x, np.ones(3000)]
+    for _ in range(4000):
+        v -= full.T @ (1 / (1 + np.exp(-full @ v)) - y) / 3000
+    assert np.allclose(w, v, atol=1e-2)
+
+
+def test_patterns_of_texts():
+    assert toxicity.patterns(b"") == set() and toxicity.patterns(b"LOUD WORDS HERE!!!") == {"#capitals", "#bangs"}
+    assert toxicity.patterns(b"see http://x.org or a@b.c") == {"#link", "#mail"} and toxicity.patterns(b"12345 a") == {"#digits"}
+
+
 def test_toxicity_learns_a_lexicon(spark):
     rng = random.Random(2)
     words = [f"w{chr(97 + i)}{chr(97 + j)}x" for i in range(20) for j in range(20)]
