@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -364,6 +365,76 @@ def test_html():
     assert e("a" + "<div>" * 3000 + "deep") == "a\ndeep" and e("x <!-- never ends") == "x"
 
 
+def test_html_oddities():
+    e = htmltext.extract
+    assert e('<p>before <a title="x>link</a> after</p>') == "before" and e("<a title=it's>hello</a> we don't <b>") == "hello we don't"
+    assert e("<head><title>x</title>text <b>bold</b>") == "text bold" and e("<pre>\nx\n\n y</pre>z") == "x\n\n y\n\nz"
+    assert e("a<br><br>b<br></p>c") == "a\n\nb\n\nc" and e("<div hidden><div>x</div>secret</div>v") == "v" and e("<b><p>x</b>y</p>z") == "xy\n\nz"
+    assert e("<noscript>n</noscript><dialog>d</dialog><dialog open>D</dialog><details><summary>S</summary>b</details><details open>B</details>") == "D\nS\nB"
+    assert e("<div style='visibility:hidden'>no<i style='visibility:visible'>yes</i></div>") == "yes" and e("<svg><text>draw</text></svg><math><mi>x</mi></math>") == "drawx"
+    assert e("<table><tr><td colspan=2>wide one</td></tr><tr><td>a</td><td>b</td></tr><tr><td rowspan=2>r</td><td>1</td></tr><tr><td>2</td></tr></table>") == "wide one\na  b\nr  1\n   2"
+    assert e("<table><tr><td>a<br>b</td><td><ul><li>x<li>y</ul></td><td>z</td></tr><tr><td>longer cell</td><td>q</td></table>") == "a              - x  z\nb              - y\nlonger cell  q"
+    assert e("<ol start=3><li>a<li value=9>b<li>c<ul><li>n</ul></ol>") == "  3. a\n  9. b\n  10. c\n    - n" and e("1 < 2 <![CDATA[no]]>") == "1 < 2"
+
+
+@pytest.mark.parametrize("piece", ["<ul><li>", "<div>", "<b>", "<table><tr><td>", "<p>", "</p>", "<a b='", "<!--", "<", "<span><div></span>", "<li>x", '<a b="c>', "<dl><dt>a<dd>", "<font><p>", "<td>", "<br>", "<table><tr><td colspan=9 rowspan=9>x"])
+def test_html_is_linear(piece):
+    took = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        htmltext.extract(piece * n + "x")
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.01)  # 8 where time is in proportion, 64 where it is quadratic
+
+
+def _plain_layout(tree, out, indent=0, mark=None):
+    """A recursive renderer of (tag, kids) over words, for trees without implied tags."""
+    for kid in tree[1]:
+        if isinstance(kid, str):
+            if out["now"] is None:
+                out["lines"] += [""] * (out["gap"] > 1 and bool(out["lines"]))
+                out["gap"], out["now"] = 0, "  " * indent + (mark.pop() if mark else "")
+                out["now"] += kid
+            else:
+                out["now"] += " " + kid
+        elif kid[0] == "b":
+            _plain_layout(kid, out, indent, mark)
+        elif kid[0] != "hidden":
+            gap = {"p": 2, "ul": 1 if indent else 2}.get(kid[0], 1)
+
+            def edge(gap=gap):
+                out["lines"] += [] if out["now"] is None else [out["now"]]
+                out["now"], out["gap"] = None, max(out["gap"], gap)
+
+            edge()
+            _plain_layout(kid, out, indent + (kid[0] == "ul"), ["- "] if kid[0] == "li" else mark)
+            edge()
+    return out
+
+
+def test_html_against_a_plain_renderer():
+    rng = random.Random(12)
+
+    def grow(tag, depth):
+        allowed = {"ul": ["li"], "p": ["b", "hidden"], "b": ["b"], "hidden": ["b"]}.get(tag, ["div", "p", "ul", "b", "hidden"])
+        kids = []
+        for _ in range(rng.randint(0, 4)):
+            if tag != "ul" and (depth == 0 or rng.random() < 0.5):
+                kids.append(f"w{rng.randint(0, 99)}")
+            elif depth:
+                kids.append(grow(rng.choice(allowed), depth - 1))
+        return (tag, kids)
+
+    def spell(tree):
+        inside = " ".join(k if isinstance(k, str) else spell(k) for k in tree[1])
+        return f"<b hidden> {inside} </b>" if tree[0] == "hidden" else f"<{tree[0]}> {inside} </{tree[0]}>"
+
+    for _ in range(300):
+        tree = ("div", [grow("div", 5)])
+        out = _plain_layout(tree, {"lines": [], "now": None, "gap": 0})
+        assert htmltext.extract(spell(tree)) == "\n".join(out["lines"]), spell(tree)
+
+
 def test_mix_keeps_within_bounds(spark):
     got = mixing.plan(docs(spark, some(spark))).collect()
     taken = {}
