@@ -83,11 +83,18 @@ l1 AS (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l),
 l2 AS (SELECT r, line, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l1),
 l3 AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again, len(ws) AS n,
        length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS sym, length(regexp_replace(line, '[^!]', '', 'g')) AS bang,
-       length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low FROM l2 WHERE len(ws) > 0),
+       length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low,
+       regexp_matches(line, '[.!?:;"'')…»”。！？][\x20\x09-\x0D]*$') AS ended,
+       len(list_filter(ws, lambda w: w IN ('|', '/', '>', '»', '·', '•', '-', '–', '—'))) AS parted,
+       len(list_filter(ws, lambda w: contains(w, '://') OR starts_with(w, 'www.'))) AS links,
+       len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) AS said FROM l2 WHERE len(ws) > 0),
+l4 AS (SELECT *, n <= 3 AND NOT ended AS s, row_number() OVER (PARTITION BY r ORDER BY i) AS j FROM l3),
+l5 AS (SELECT *, coalesce(lag(s) OVER o, false) AS p1, coalesce(lag(s, 2) OVER o, false) AS p2, coalesce(lead(s) OVER o, false) AS f1, coalesce(lead(s, 2) OVER o, false) AS f2 FROM l4 WINDOW o AS (PARTITION BY r ORDER BY j)),
 q AS (SELECT r, sum(again::INT) AS n_dup,
-       sum(CASE WHEN again OR 10 * sym > 3 * n OR 2 * bang > n OR (n >= 3 AND 10 * up > 7 * (up + low))
-           OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'all rights reserved|cookie policy|privacy policy|terms of service|terms of use|subscribe to our|click here|sign in to|licensed under|copyright \(c\)')
-           THEN length(array_to_string(ws, '')) ELSE 0 END) AS lost FROM l3 GROUP BY r),
+       sum(CASE WHEN again OR 10 * sym > 3 * n OR 2 * bang > n OR (n >= 8 AND NOT ended) OR (n >= 3 AND 10 * up > 7 * (up + low))
+           OR (s AND (p1 AND p2 OR p1 AND f1 OR f1 AND f2)) OR (parted >= 2 AND 3 * parted >= n) OR (links >= 1 AND 2 * links >= n) OR (n >= 4 AND 3 * said >= n)
+           OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'all rights reserved|cookie policy|privacy policy|terms of service|terms of use|subscribe to our|click here|sign in to|licensed under|copyright \(c\)|alle rechte vorbehalten|datenschutzerklärung|allgemeine geschäftsbedingungen|tous droits réservés|politique de confidentialité|mentions légales|todos los derechos reservados|política de privacidad|aviso legal')
+           THEN length(array_to_string(ws, '')) ELSE 0 END) AS lost FROM l5 GROUP BY r),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
        coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars FROM w LEFT JOIN q USING (r) LEFT JOIN p USING (r))

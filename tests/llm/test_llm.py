@@ -365,6 +365,29 @@ def test_html():
     assert e("a" + "<div>" * 3000 + "deep") == "a\ndeep" and e("x <!-- never ends") == "x"
 
 
+def test_lines_that_fail():
+    fails = lambda t: len(quality.clean_lines(t.encode())[0]) == 0
+    for t in ("a ## b", "so so!!", "one two three four five six seven eight", "LOUD WORDS HERE.", "Home | News | Mail", "see http://x.org", "no no no no.", "Alle Rechte vorbehalten.", "Tous droits réservés."):
+        assert fails(t), t
+    for t in ("One two.", "one two three four five six seven eight.", "Title of a page", "a - b is a difference of two.", "see http://x.org for more of it."):
+        assert not fails(t), t
+    stay, dup, lost = quality.clean_lines(b"Home\nNews\n\nMail\nA sentence.\nShort one\nA sentence.")
+    assert stay == [b"", b"A sentence.", b"Short one"] and dup == 1 and lost == 12 + 10
+
+
+def test_cleaned_texts_and_rejected_documents(spark):
+    rows = [(1, "A good sentence of ten words stays here as it is.\nClick here", "s"), (2, "Home | News | Mail | Home\n" * 5, "s"), (3, None, "s")]
+    assert {r.doc_id: r.clean_text for r in quality.cleaned(docs(spark, rows)).collect()} == {1: "A good sentence of ten words stays here as it is.", 2: "", 3: ""}
+    assert [(r.doc_id, r.text) for r in quality.keep_good(docs(spark, rows)).collect()] == [(1, rows[0][1])]
+
+
+def test_repeated_words_of_long_texts_equal_short_ones():
+    rng = random.Random(3)
+    for size in (10, 300, 1500):
+        words = [rng.choice([b"a", b"b", b"c", b"dd"]) for _ in range(size)]
+        assert quality._repeated_many(words, 5) == quality.repeated(words)
+
+
 def test_html_oddities():
     e = htmltext.extract
     assert e('<p>before <a title="x>link</a> after</p>') == "before" and e("<a title=it's>hello</a> we don't <b>") == "hello we don't"
