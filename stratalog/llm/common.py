@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at its end, the folders that operators made inside; what is taken out of the list stays.
+
+    For callers that have written their result by then: a result not yet written still reads these folders."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        remove(spark, *made)
 
 
 def remove(spark: SparkSession, *folders: str) -> None:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stratalog.llm import bpe, htmltext, quality, queries, toxicity, urlfilter
+from stratalog.llm import bpe, common, htmltext, queries, toxicity, urlfilter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,7 +22,10 @@ def _plain_fingerprint(text):
 def _plain_pipeline(docs):
     """Rows of docs (a pandas table) after all stages: pairs of all, a dictionary of all, SQL, the library."""
     duckdb = pytest.importorskip("duckdb")
-    docs = docs[[quality.measure((t or "").encode())[6] for t in docs["text"]]]
+    con = duckdb.connect()
+    con.register("documents", docs)
+    good = {r[0] for r in con.sql(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op10_quality_rules']}) WHERE kept").fetchall()}
+    docs = docs[docs["doc_id"].isin(good)]
     owner = {}
     for i, t in zip(docs["doc_id"], docs["text"], strict=True):
         key = "".join(c for c in t if c not in " \t\n\x0b\x0c\r")
@@ -36,7 +39,7 @@ def _plain_pipeline(docs):
                 lo, hi = sorted((group[i], group[j]))
                 group = [lo if g == hi else g for g in group]
     docs = docs[[g == i for i, g in enumerate(group)]]
-    con = duckdb.connect()
+    con.unregister("documents")
     con.register("documents", docs)
     times = {i: int(taken / size + 0.5) if size else 0 for i, size, _, _, taken in con.sql(queries.ORACLE_SQL["op8_mixing"]).fetchall()}
     library, rows = bpe.codec(bpe.vocabulary_path()).library, []
@@ -56,6 +59,27 @@ def test_pipeline_against_plain_version(spark):
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == want and len(want) > 50
 
 
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, repeats, clashing columns, one identifier with several texts and none with several: no document is lost."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20)) + "."
+    rows = [(None, text(1), "a"), (None, text(2), "a"), (5, text(3), "a"), (5, text(4), None), (6, text(3), "b"), (7, None, "a"), (8, "", None), (9, text(5), None), (9, text(5), None), (10, text(6) + " " + "tail. " * 3, "b"), (11, " ".join(f"v{i}" for i in range(30_000)) + ".", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, taken long"
+    table = spark.createDataFrame([(i, t, "en", s, None, "x", 1, 2) for i, t, s in rows], schema)
+    for name, part in (("all", table), ("none", table.limit(0))):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs, columns = common.read(spark, f"{tmp_path}/{name}", "documents"), table.columns
+        for stage, f in corpus_pipeline.STAGES[:3]:
+            docs = f(spark, docs, "")
+            assert docs.columns == columns, stage
+        kept = sorted((r.doc_id or 0, r.text[:6]) for r in docs.collect())
+        assert kept == ([(0, "w1x0 w"), (0, "w2x0 w"), (5, "w3x0 w"), (5, "w4x0 w"), (9, "w5x0 w"), (10, "w6x0 w"), (11, "v0 v1 ")] if name == "all" else [])
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        ids = {r.doc_id for r in got.collect()}
+        assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (ids >= {None, 5, 9, 10} if name == "all" else not ids)
+
+
 PAGES = "page_id long, url string, html string, host string, rule string, text string, score double"
 
 
