@@ -48,10 +48,13 @@ def dictionary_key(name: Column) -> Column:
 
 
 def natural_key(s: Column) -> Column:
-    """Sort key under which a2 comes before a10: digit runs are led by their length, case is ignored."""
+    """Sort key under which a2 comes before a10: case and leading zeros are ignored, and a run of digits is led by its
+    length. The length is led by its own length, so runs of any length compare right."""
     runs = F.regexp_extract_all(F.lower(s), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), 20, "0")).otherwise(r))
-    return F.array_join(padded, "")
+    bare = lambda r: F.regexp_replace(r, r"^0+(?=\d)", "")
+    size = lambda r: F.length(bare(r)).cast("string")
+    led = F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.length(size(r)).cast("string"), size(r), bare(r))).otherwise(r))
+    return F.array_join(led, "")
 
 
 def is_public(flags: Column, engine: int) -> Column:

@@ -51,9 +51,10 @@ def search_exact_name(spark, sf):
     return p.join(p.where("p_partkey = 1").select("k").distinct(), "k", "left_semi").select("p_partkey", "p_name")
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) AS place FROM customer WHERE c_acctbal > 9000")
+@query("SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) AS place FROM customer")
 def natural_order(spark, sf):
+    """Places in natural order within a list (customers of a nation and segment)."""
     from pyspark.sql import Window as W
 
-    rich = table(spark, sf, "customer").where("c_acctbal > 9000").select("c_custkey", natural_key(F.regexp_replace("c_name", "#0*", "#")).alias("k"))
-    return rich.select("c_custkey", F.row_number().over(W.orderBy("k", "c_custkey")).alias("place"))
+    named = table(spark, sf, "customer").withColumn("k", natural_key(F.col("c_name")))
+    return named.select("c_custkey", "c_nationkey", F.row_number().over(W.partitionBy("c_nationkey", "c_mktsegment").orderBy("k", "c_custkey")).alias("place"))
