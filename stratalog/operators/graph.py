@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, roots: list[int], max_depth: int = 10_000) -> DataFrame:
-    """node, depth of all that roots reach over edges (src, dst). A round joins the frontier with the edges and drops
-    what was seen; lineage is cut by reliable checkpoints where the session names a folder for them, else by caching."""
+def _keeper(spark):
+    """Writes a table of a round to the shared folder of checkpoints; without one (tests) it is cached."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return lambda df: df.cache()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/closure-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
+def closure(edges: DataFrame, roots: list | DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """node, depth of all that roots (values, or a table with column node) reach over edges (src, dst).
+
+    A round joins the frontier alone with the edges and leaves out what earlier rounds saw; each round's nodes are written
+    once and appended, none is written again. Raises ValueError if nodes are left at max_depth."""
     spark = edges.sparkSession
-    lasting = spark.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if lasting else (lambda df: df.cache())
-    edges = keep(edges)
-    seen = frontier = spark.createDataFrame([(r, 0) for r in roots], "node long, depth long")
-    for depth in range(1, max_depth + 1):
-        found = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = keep(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        if frontier.isEmpty():
-            break
-        seen = keep(seen.unionByName(frontier))
-    return seen
+    keep = _keeper(spark)
+    edges = keep(edges.select("src", "dst"))
+    if not isinstance(roots, DataFrame):
+        roots = spark.createDataFrame([(r,) for r in roots], "node long")
+    rounds = [keep(roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))]
+    while not rounds[-1].isEmpty():
+        if len(rounds) > max_depth:
+            raise ValueError(f"the closure is deeper than {max_depth}")
+        found = edges.join(rounds[-1].select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, rounds)
+        rounds.append(keep(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(len(rounds)).cast("long"))))
+    return reduce(DataFrame.unionByName, rounds)

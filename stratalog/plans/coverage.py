@@ -58,19 +58,23 @@ def package_superset(spark, sf):
     return got.select("provider", "matched", (F.col("matched") == need.agg(F.count("*")).scalar()).alias("superset"))
 
 
-@query(f"""WITH {EDGES_SQL}, {FILES_SQL}, g AS (SELECT DISTINCT game_id, package FROM edges JOIN files USING (file_id) WHERE outcome = 1 AND size > 200000), u AS (SELECT DISTINCT file_id, package FROM edges WHERE outcome = 0),
+@query(f"""WITH {EDGES_SQL}, {FILES_SQL}, g AS (SELECT DISTINCT game_id, package FROM edges JOIN files USING (file_id) WHERE outcome = 1), u AS (SELECT DISTINCT file_id, package FROM edges WHERE outcome = 0),
 n AS (SELECT file_id, count(*) AS imports FROM u GROUP BY file_id), m AS (SELECT file_id, game_id, count(*) AS matches FROM u JOIN g USING (package) GROUP BY ALL),
 r AS (SELECT file_id, game_id, imports, matches, floor(matches * 1000 / imports) / 10 AS percent, row_number() OVER (PARTITION BY file_id ORDER BY matches DESC, game_id) AS rank FROM m JOIN n USING (file_id))
 SELECT *, CASE WHEN percent >= 75 THEN 'likely' WHEN percent > 0 THEN 'possible' ELSE 'none' END AS assessment FROM r WHERE rank <= 5""")
 def game_match_rank(spark, sf):
+    """The five best games a file. Files that miss the same packages share one ranking: games are counted a set of packages,
+    not a file, and a package goes to its games as one row with an array."""
     e, f = edges(spark, sf), files(spark, sf)
-    g = e.where("outcome = 1").join(f.where("size > 200000").select("file_id", "game_id"), "file_id").groupBy("package").agg(F.collect_set("game_id").alias("games"))
-    u = e.where("outcome = 0").groupBy("file_id").agg(F.collect_set("package").alias("packages"))
-    u = u.select("file_id", F.size("packages").cast("long").alias("imports"), F.explode("packages").alias("package"))
-    # a row an import crosses the network; it becomes a row a game only where its file's rows have met
-    m = u.join(g, "package").select("file_id", "imports", "games").repartition("file_id").select("file_id", "imports", F.explode("games").alias("game_id"))
-    m = m.groupBy("file_id", "imports", "game_id").agg(F.count("*").alias("matches"))
-    r = m.withColumn("percent", F.floor(F.col("matches") * 1000 / F.col("imports")) / 10).withColumn("rank", F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("matches"), "game_id"))).where("rank <= 5")
+    owned = e.where("outcome = 1").select("file_id", "package").distinct()
+    g = owned.join(f.select("file_id", "game_id"), "file_id").groupBy("package").agg(F.collect_set("game_id").alias("games"))
+    u = e.where("outcome = 0").groupBy("file_id").agg(F.array_sort(F.collect_set("package")).alias("packages"))
+    sets = u.select("packages").distinct().withColumn("k", F.xxhash64("packages"))
+    m = sets.select("packages", "k", F.explode("packages").alias("package")).join(g, "package").select("packages", "k", F.explode("games").alias("game_id"))
+    m = m.groupBy("packages", "game_id").agg(F.count("*").alias("matches"))
+    best = m.groupBy("packages").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("matches")).alias("m"), "game_id"))), 1, 5).alias("best"))  # an entry a game
+    r = u.join(best, "packages").select("file_id", F.size("packages").cast("long").alias("imports"), F.posexplode("best").alias("at", "b"))
+    r = r.select("file_id", "b.game_id", "imports", (-F.col("b.m")).alias("matches"), (F.col("at") + 1).alias("rank")).withColumn("percent", F.floor(F.col("matches") * 1000 / F.col("imports")) / 10)
     return r.withColumn("assessment", F.when(F.col("percent") >= 75, "likely").when(F.col("percent") > 0, "possible").otherwise("none"))
 
 

@@ -134,19 +134,21 @@ def affected_consumers(spark, sf):
 @query("""WITH RECURSIVE j AS (SELECT conv_id, turn, 0 AS depth, CAST(turn AS VARCHAR) AS path FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)
 UNION ALL SELECT c.conv_id, c.turn, depth + 1, path || '/' || c.turn FROM j JOIN conversations c ON c.conv_id = j.conv_id AND c.turn = j.turn + 1) SELECT conv_id, turn, depth, path FROM j""")
 def job_subtree(spark, sf):
-    table(spark, sf, "conversations").select("conv_id", "turn").createOrReplaceTempView("stratalog_jobs")
-    return spark.sql("""WITH RECURSIVE roots AS (SELECT conv_id, turn FROM stratalog_jobs c WHERE NOT EXISTS (SELECT 1 FROM stratalog_jobs p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)),
-    j(conv_id, turn, depth, path) AS (SELECT conv_id, turn, 0, CAST(turn AS STRING) FROM roots
-    UNION ALL SELECT c.conv_id, c.turn, j.depth + 1, concat(j.path, '/', c.turn) FROM j JOIN stratalog_jobs c ON c.conv_id = j.conv_id AND c.turn = j.turn + 1) SELECT conv_id, turn, depth, path FROM j LIMIT ALL""")
+    """Job trees downwards, to any depth that trees have: 100,000 levels."""
+    return spark.sql("""WITH RECURSIVE j(conv_id, turn, depth, path) MAX RECURSION LEVEL 100000 AS (
+    SELECT conv_id, turn, 0, CAST(turn AS STRING) FROM {jobs} c WHERE NOT EXISTS (SELECT 1 FROM {jobs} p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)
+    UNION ALL SELECT c.conv_id, c.turn, j.depth + 1, concat(j.path, '/', c.turn) FROM j JOIN {jobs} c ON c.conv_id = j.conv_id AND c.turn = j.turn + 1) SELECT conv_id, turn, depth, path FROM j LIMIT ALL""", jobs=table(spark, sf, "conversations").select("conv_id", "turn"))
 
 
-_GRAPH = "g AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R' AND l_quantity > 45 AND l_discount > 0.08)"
+_GRAPH = "g AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey)"
 
 
-@query(f"WITH RECURSIVE {_GRAPH}, r AS (SELECT 0 AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN g ON src = node WHERE depth < 30) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node")
+@query(f"WITH RECURSIVE {_GRAPH}, r AS (SELECT 0 AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN g ON src = node WHERE depth < 25) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node")
 def dependency_closure(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45 AND l_discount > 0.08").select("l_suppkey", "l_orderkey")
+    """What games a game reaches by the dependencies of all files: all lines of all orders are edges."""
+    line = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey")
     g = line.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    g = g.where("s_nationkey <> c_nationkey")
     return graph.closure(g.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).distinct(), [0])
 
 
@@ -158,5 +160,5 @@ def package_closure(spark, sf):
     line = line.join(files(spark, sf).select("file_id", F.col("game_id").cast("long").alias("game_id")), "file_id")
     line = line.withColumn("node", F.shiftleft("game_id", 40) + F.col("part"))
     edges_ = line.withColumn("dst", F.lead("node").over(W.partitionBy("file_id").orderBy("n", "part"))).where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst").distinct()
-    roots = [r["node"] for r in line.groupBy("game_id").agg(F.min_by("node", F.struct("file_id", "n", "part")).alias("node")).collect()]  # a row a game
+    roots = line.groupBy("game_id").agg(F.min_by("node", F.struct("file_id", "n", "part")).alias("node")).select("node")
     return graph.closure(edges_, roots).select(F.shiftright("node", 40).alias("game_id"), F.col("node").bitwiseAND((1 << 40) - 1).alias("part"), "depth")
