@@ -54,8 +54,11 @@ def geoip_lookup(spark, sf):
 @query("""WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
 SELECT c.event_id AS click_id, s.event_id AS view_id, epoch(c.ts) - epoch(s.ts) <= 15 AS promoted FROM c LEFT JOIN LATERAL (SELECT event_id, ts FROM s WHERE s.user_id = c.user_id AND s.ts <= c.ts AND s.ts >= c.ts - INTERVAL 15 SECOND ORDER BY s.ts DESC, s.event_id DESC LIMIT 1) s ON true""")
 def event_promotion_15s(spark, sf):
-    e = table(spark, sf, "events").where(F.col("event_type").isin("view", "click")).select("event_id", "user_id", "ts", "event_type")
-    before = W.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1), "event_id").rowsBetween(W.unboundedPreceding, 0)
+    """A click promotes the user's latest view of the 15 seconds before. Views stand in their own 15-second bucket and the
+    next, so a click meets all it may promote in its bucket, and a busy user is many groups."""
+    e = table(spark, sf, "events").where(F.col("event_type").isin("view", "click")).select("event_id", "user_id", "ts", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 15_000_000).alias("b"))
+    e = e.withColumn("b", F.explode(F.when(F.col("event_type") == "view", F.array("b", F.col("b") + 1)).otherwise(F.array("b"))))
+    before = W.partitionBy("user_id", "b").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1), "event_id").rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(F.col("event_type") == "view", F.struct("event_id", "ts")), ignorenulls=True).over(before)
     e = e.withColumn("v", last).where("event_type = 'click'")
     fresh = F.col("v.ts") >= F.col("ts") - F.expr("INTERVAL 15 SECOND")

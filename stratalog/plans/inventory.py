@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.joins import neither_key
+from ..operators.joins import either_key, neither_key
 from ..operators.rollup import n_if
 from ..registry import query
 from ..tables import EDGES_SQL, edges, table
@@ -60,12 +60,31 @@ def child_needs(spark, sf):
     return n.join(p, "required_package", "left").fillna(0, ["peers"])
 
 
-@query(f"WITH {_SITES} SELECT h.doc_id AS here_id, t.doc_id AS there_id, h.md5, 'same_content' AS reason FROM here h JOIN there t ON h.md5 = t.md5 AND h.game <> t.game")
+_GUID = "CASE WHEN length(trim(text)) >= 12 THEN upper(md5(substr(text, 1, 24))) END"
+
+
+@query(f"""WITH i AS (SELECT doc_id % 2 = 0 AS here, md5(coalesce(text, '')) AS md5, length(coalesce(text, '')) AS size, {_GUID} AS guid FROM documents),
+a AS (SELECT 'guid' AS reason, guid AS identity, count(*) FILTER (WHERE here) AS here_rows, count(*) FILTER (WHERE NOT here) AS there_rows, count(DISTINCT md5) AS variants FROM i WHERE guid IS NOT NULL GROUP BY guid HAVING count(DISTINCT md5) > 1),
+b AS (SELECT 'content', md5, count(*) FILTER (WHERE here), count(*) FILTER (WHERE NOT here), count(DISTINCT coalesce(guid, '') || ':' || size) FROM i WHERE size > 0 GROUP BY md5 HAVING count(DISTINCT coalesce(guid, '') || ':' || size) > 1 OR count(*) FILTER (WHERE here) > 1 AND count(*) FILTER (WHERE NOT here) > 1)
+SELECT * FROM a WHERE here_rows > 0 AND there_rows > 0 UNION ALL SELECT * FROM b WHERE true""")
 def inventory_conflicts(spark, sf):
-    d = items(spark, sf)
-    h = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("here_id"), "md5", F.col("game").alias("g1"))
-    t = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("there_id"), "md5", F.col("game").alias("g2"))
-    return h.join(t, "md5").where("g1 <> g2").select("here_id", "there_id", "md5", F.lit("same_content").alias("reason"))
+    """Conflicts between two inventories, a row a group and never a pair of rows: one guid with several contents on both
+    sides, or one content with several guids or sizes, or held more than once on both sides. Blanks never match."""
+    i = table(spark, sf, "documents").select((F.col("doc_id") % 2 == 0).alias("here"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"), F.length(F.coalesce("text", F.lit(""))).alias("size"), F.when(F.length(F.trim("text")) >= 12, F.upper(F.md5(F.substring("text", 1, 24).cast("binary")))).alias("guid"))
+    both = [n_if(F.col("here")).alias("here_rows"), n_if(~F.col("here")).alias("there_rows")]
+    a = i.where("guid IS NOT NULL").groupBy("guid").agg(*both, F.countDistinct("md5").alias("variants")).where("variants > 1 AND here_rows > 0 AND there_rows > 0")
+    b = i.where("size > 0").groupBy("md5").agg(*both, F.countDistinct(F.coalesce("guid", F.lit("")), "size").alias("variants")).where("variants > 1 OR here_rows > 1 AND there_rows > 1")
+    row = lambda reason, t, key: t.select(F.lit(reason).alias("reason"), F.col(key).alias("identity"), "here_rows", "there_rows", "variants")
+    return row("guid", a, "guid").unionByName(row("content", b, "md5"))
+
+
+@query(f"""WITH i AS (SELECT doc_id, md5(coalesce(text, '')) AS md5, {_GUID} AS guid FROM documents), here AS (SELECT * FROM i WHERE doc_id % 2 = 0), there AS (SELECT * FROM i WHERE doc_id % 2 = 1)
+SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM here h WHERE h.md5 = t.md5) OR EXISTS (SELECT 1 FROM here h WHERE h.guid = t.guid) THEN 'held' ELSE 'absent' END AS state FROM there t""")
+def inventory_by_either_key(spark, sf):
+    """Remote rows that are held here by content or by guid, and those held by neither: one equality join a key."""
+    i = table(spark, sf, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"), F.when(F.length(F.trim("text")) >= 12, F.upper(F.md5(F.substring("text", 1, 24).cast("binary")))).alias("guid"))
+    here, there, pairs = i.where("doc_id % 2 = 0"), i.where("doc_id % 2 = 1"), [("md5", "md5"), ("guid", "guid")]
+    return either_key(there, here, pairs, "doc_id").select("doc_id", F.lit("held").alias("state")).unionByName(neither_key(there, here, pairs).select("doc_id", F.lit("absent").alias("state")))
 
 
 _POINTS = "CASE WHEN a = b THEN 40 WHEN regexp_replace(a, '[^a-z0-9]', '', 'g') = regexp_replace(b, '[^a-z0-9]', '', 'g') THEN 30 WHEN levenshtein(a, b) <= 2 THEN 20 WHEN levenshtein(a, b) <= 4 THEN 10 ELSE 0 END"

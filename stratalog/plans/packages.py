@@ -9,7 +9,7 @@ from ..functions.keys import name_key
 from ..operators import verification
 from ..operators.imports import outer_paths
 from ..registry import query
-from ..sources.binary import compact_index_column, encode_compact_index, legacy_header, probe_header, redirect_round_trip
+from ..sources.binary import compact_index_column, encode_compact_index, legacy_header, probe_headers, redirect_round_trip
 from ..tables import EDGES_SQL, edges, table
 
 
@@ -94,15 +94,19 @@ def verify_import_outcomes(spark, sf):
     return verification.verify_imports(imports, exports, engine=4)
 
 
-@query()
+@query("SELECT (l_partkey * 7919 - 800000)::INT AS expected, (l_partkey * 7919 - 800000)::INT AS decoded FROM lineitem")
 def compact_index(spark, sf):
     p = table(spark, sf, "lineitem").select((F.col("l_partkey") * 7919 - 800000).cast("int").alias("expected"))
-    return p.select("expected", compact_index_column(encode_compact_index(F.col("expected"))).alias("decoded"))
+    return p.select("expected", encode_compact_index(F.col("expected")).alias("data")).select("expected", compact_index_column(F.col("data")).alias("decoded"))
 
 
-@query()
+@query("""WITH h AS (SELECT p_partkey, p_size, p_partkey % 17 = 0 AS short, p_partkey % 13 <> 0 AS good, [33, 60, 69, 118, 128, 400, 864, -4, -7, -8][p_partkey % 10 + 1] AS v FROM part),
+s AS (SELECT *, CASE WHEN v <= -8 THEN 'UE5' WHEN v < 0 THEN 'UE4' WHEN v BETWEEN 334 AND 867 THEN 'UE3' WHEN v BETWEEN 100 AND 199 THEN 'UE2' WHEN v BETWEEN 34 AND 99 THEN 'UE1' END AS e,
+      CASE WHEN short THEN 'truncated' WHEN NOT good THEN 'bad_tag' ELSE 'ok' END AS state FROM h)
+SELECT p_partkey, CASE WHEN state = 'ok' AND e IS NULL THEN 'unknown_version' ELSE state END AS status, CASE WHEN state = 'ok' THEN e END AS engine,
+       CASE WHEN state = 'ok' THEN v END::INT AS version, CASE WHEN state = 'ok' AND v >= 0 THEN 0 END::INT AS licensee, CASE WHEN state = 'ok' AND v >= 0 THEN p_size END::INT AS names FROM s""")
 def header_probe(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", probe_header(legacy_header(F.col("p_size"), F.col("p_partkey"))).alias("h")).select("p_partkey", "h.*")
+    return probe_headers(table(spark, sf, "part").select("p_partkey", legacy_header(F.col("p_size"), F.col("p_partkey")).alias("data")), "data").drop("data")
 
 
 @query()

@@ -62,13 +62,17 @@ def count_telemetry(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("context")).agg(F.count("*").alias("samples"), total.alias("total"), F.max("value").alias("most"), F.max_by("value", F.struct("ts", "event_id")).alias("latest"), n_if(F.col("value") >= 100).alias("slow"), F.floor(total / F.count("*")).alias("average"))
 
 
-_A = "CASE WHEN (full_scan AND n >= 3000) OR (sorts AND n >= 1500) THEN 'investigate' WHEN n >= 1200 OR (sorts AND n >= 400) THEN 'watch' ELSE 'normal' END"
+_A = "CASE WHEN (full_scan AND n >= 50000) OR (sorts AND n >= 10000) THEN 'investigate' WHEN (full_scan AND n >= 5000) OR (sorts AND n >= 1000) OR (NOT indexed AND n >= 10000) THEN 'watch' ELSE 'normal' END"
 
 
-@query(f"WITH p AS (SELECT o_orderpriority AS context, o_orderstatus AS kind, count(*) AS n, o_orderstatus = 'F' AS full_scan, o_orderpriority LIKE '1%' AS sorts FROM orders GROUP BY ALL) SELECT context, kind, n, {_A} AS assessment FROM p")
+@query(f"WITH p AS (SELECT l_shipdate::DATE AS context, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM lineitem), q AS (SELECT *, context IS NULL OR month(context) = 1 AS full_scan, coalesce(month(context) = 2, false) AS sorts, coalesce(month(context) > 3, false) AS indexed FROM p) SELECT context, n, full_scan, sorts, indexed, {_A} AS assessment FROM q")
 def plan_assessment(spark, sf):
-    p = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("context"), F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n"))
-    return p.withColumn("full_scan", F.col("kind") == "F").withColumn("sorts", F.col("context").startswith("1")).select("context", "kind", "n", F.expr(_A).alias("assessment"))
+    """Row counts of plans (one a day, and one over all) against the marks for full scans, sorts and plans without a key."""
+    line = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("context"))
+    p = line.groupBy("context").agg(F.count("*").alias("n")).unionByName(line.agg(F.count("*").alias("n")).select(F.lit(None).cast("date").alias("context"), "n"))
+    month = F.month("context")
+    q = p.withColumn("full_scan", F.col("context").isNull() | (month == 1)).withColumn("sorts", F.coalesce(month == 2, F.lit(False))).withColumn("indexed", F.coalesce(month > 3, F.lit(False)))
+    return q.withColumn("assessment", F.expr(_A))
 
 
 @query(f"WITH {_J} SELECT p.queue, count(DISTINCT q.parent) AS blocked_roots, count(*) AS blocked FROM j q JOIN (SELECT DISTINCT parent, queue FROM j WHERE status = 'running') p USING (parent) WHERE q.status = 'queued' GROUP BY p.queue")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,9 @@ MAGIC = 0x9E2A83C1
 
 
 def read_compact_index(data: bytes, at: int = 0) -> tuple[int, int]:
-    """A signed number of 1 to 5 bytes, and where it ends. First byte: sign, more, 6 bits; then more and 7 bits."""
+    """A signed number of 1 to 5 bytes, and where it ends. First byte: sign, more, 6 bits; then more and 7 bits.
+
+    A fifth byte that says more, and numbers of more than 31 bits, are errors."""
     first = data[at]
     at += 1
     value, shift, more = first & 63, 6, first & 64
@@ -22,6 +24,8 @@ def read_compact_index(data: bytes, at: int = 0) -> tuple[int, int]:
         at += 1
         value |= (b & 127) << shift
         more, shift = b & 128, shift + 7
+    if more or value > 0x7FFFFFFF:
+        raise ValueError("a compact index of more than 31 bits")
     return (-value if first & 128 else value), at
 
 
@@ -35,22 +39,29 @@ def write_compact_index(value: int) -> bytes:
     return bytes(out)
 
 
-@F.pandas_udf(T.BinaryType())
-def _encode(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: write_compact_index(int(v)))
-
-
-@F.pandas_udf(T.IntegerType())
-def _decode(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: read_compact_index(bytes(b))[0])
-
-
 def encode_compact_index(value: Column) -> Column:
-    return _encode(value)
+    """write_compact_index as a column expression."""
+    n = F.abs(value.cast("long"))
+    first = F.when(value < 0, 128).otherwise(0) + F.when(n > 63, 64).otherwise(0) + n.bitwiseAND(63)
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    out = byte(first.cast("long"))
+    for k in range(4):
+        rest = F.shiftright(n, 6 + 7 * k)
+        out = F.concat(out, F.when(rest > 0, byte(F.when(rest > 127, 128).otherwise(0) + rest.bitwiseAND(127))).otherwise(""))
+    return F.unhex(out)
 
 
 def compact_index_column(data: Column) -> Column:
-    return _decode(data)
+    """read_compact_index of a column's first bytes as a column expression: null where it is cut short or too large."""
+    at = lambda k: F.conv(F.hex(F.substring(data, k, 1)), 16, 10).cast("long")
+    first = at(1)
+    value, more = first.bitwiseAND(63), first.bitwiseAND(64) != 0
+    for k in range(4):
+        b = at(k + 2)
+        value = F.when(more, value + F.shiftleft(b.bitwiseAND(127), 6 + 7 * k)).otherwise(value)
+        more = more & (b.bitwiseAND(128) != 0)
+    whole = F.when(~more & (value <= 0x7FFFFFFF), value)
+    return F.when(first.bitwiseAND(128) != 0, -whole).otherwise(whole).cast("int")
 
 
 def parse_header(data: bytes) -> dict:
@@ -68,26 +79,40 @@ def parse_header(data: bytes) -> dict:
     return {"status": "ok" if engine else "unknown_version", "engine": engine, "version": version, "licensee": licensee, "names": names}
 
 
-@F.pandas_udf(T.StructType().add("status", T.StringType()).add("engine", T.StringType()).add("version", T.IntegerType()).add("licensee", T.IntegerType()).add("names", T.IntegerType()))
-def _probe(s: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([parse_header(bytes(b)) for b in s], columns=["status", "engine", "version", "licensee", "names"])
-    return out.astype({"version": "Int32", "licensee": "Int32", "names": "Int32"})
+def _little(data: Column, at: int) -> Column:
+    """The signed 32-bit number at a byte, null where the data end before it."""
+    part = F.hex(F.substring(data, at + 1, 4))
+    turned = F.concat(*(F.substring(part, k, 2) for k in (7, 5, 3, 1)))
+    n = F.when(F.length(part) == 8, F.conv(turned, 16, 10).cast("long"))
+    return F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n)
 
 
-@F.pandas_udf(T.BinaryType())
-def _legacy(size: pd.Series, key: pd.Series) -> pd.Series:
-    versions = [33, 60, 69, 118, 128, 400, 864, -4, -7, -8]
-    made = [struct.pack("<Iiii", MAGIC if k % 13 else 1, versions[k % 10], 0, s)[: 16 if k % 17 else 6] for s, k in zip(size, key, strict=True)]
-    return pd.Series(made)
+#: Versions of generated headers.
+VERSIONS = (33, 60, 69, 118, 128, 400, 864, -4, -7, -8)
 
 
 def legacy_header(size: Column, key: Column) -> Column:
     """Generated header bytes, some with a bad tag, some cut short."""
-    return _legacy(size, key)
-
-
-def probe_header(data: Column) -> Column:
-    return _probe(data)
+    four = lambda n: F.hex(F.concat(*(F.substring(F.unhex(F.lpad(F.hex(n.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), k, 1) for k in (4, 3, 2, 1))))
+    version = F.element_at(F.array(*map(F.lit, VERSIONS)), (key % len(VERSIONS) + 1).cast("int"))
+    whole = F.concat(four(F.when(key % 13 != 0, F.lit(MAGIC)).otherwise(F.lit(1))), four(version), four(F.lit(0)), four(size))
+    return F.unhex(F.when(key % 17 == 0, F.substring(whole, 1, 12)).otherwise(whole))
+
+
+def probe_headers(rows: DataFrame, data: str) -> DataFrame:
+    """parse_header of a binary column as column expressions: rows with status, engine, version, licensee, names added."""
+    col = F.col(data)
+    read = rows.withColumns({"__tag": _little(col, 0), "__word": _little(col, 4), "__names": _little(col, 12)})
+    word, legacy = F.col("__word"), F.col("__word") >= 0
+    read = read.withColumn("version", F.when(legacy, word.bitwiseAND(0xFFFF)).otherwise(word).cast("int"))
+    version = F.col("version")
+    engine = F.when(word <= -8, "UE5").when(word < 0, "UE4").when(version.between(334, 867), "UE3").when(version.between(100, 199), "UE2").when(version.between(34, 99), "UE1")
+    read = read.withColumn("engine", engine)
+    status = F.when(word.isNull(), "truncated").when(F.col("__tag") != MAGIC - (1 << 32), "bad_tag").when(F.col("engine").isNull(), "unknown_version").otherwise("ok")
+    read = read.withColumn("status", status)
+    known = F.col("status").isin("ok", "unknown_version")
+    out = {"engine": F.when(known, F.col("engine")), "version": F.when(known, version), "licensee": F.when(known & legacy, F.shiftright(word, 16)).cast("int"), "names": F.when(known & legacy, F.col("__names")).cast("int")}
+    return read.withColumns(out).drop("__tag", "__word", "__names")
 
 
 def bwt(data: bytes) -> tuple[bytes, int]:

@@ -230,7 +230,8 @@ def read_package(data: bytes) -> dict:
             if word != -4:
                 c.num("i")
             version, _ = c.num("i"), c.num("i")
-            version = version or 511  # packages without versions are of the last one known here
+            if not version:  # saved without versions: nothing says which layout follows
+                raise Broken("unversioned")
             if word <= -2:
                 n = c.num("i")
                 for _ in range(n):

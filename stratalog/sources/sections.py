@@ -46,19 +46,24 @@ def at_positions(rows: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def publish(rows: DataFrame, path: str, staging: str) -> None:
-    """Replaces the files that rows holds. Only partitions with such files are rewritten; the new state of them is
+    """Replaces the files that rows holds, in all their sections: what a file no longer has is removed. Only partitions with such files are rewritten; the new state of them is
     written to ``staging`` (a fresh shared folder) first, because a partition can't be read while it is overwritten."""
-    spark = rows.sparkSession
+    spark, gone = rows.sparkSession, []
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     rows = rows.select(*names)
     try:
         old = read(spark, path)
-        touched = rows.select("game_id", "section").distinct()
-        kept = old.join(touched, ["game_id", "section"], "left_semi").join(rows.select("game_id", "file_id").distinct(), ["game_id", "file_id"], "left_anti").select(*names)
+        files = rows.select("game_id", "file_id").distinct()
+        touched = old.join(files, ["game_id", "file_id"], "left_semi").select("game_id", "section").union(rows.select("game_id", "section")).distinct()
+        kept = old.join(touched, ["game_id", "section"], "left_semi").join(files, ["game_id", "file_id"], "left_anti").select(*names)
         rows = kept.unionByName(rows)
+        gone = touched.join(rows.select("game_id", "section").distinct(), ["game_id", "section"], "left_anti").collect()  # emptied partitions
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     rows.write.parquet(staging)
     new = spark.read.schema(SCHEMA).parquet(staging).repartition("game_id", "section", F.pmod(F.xxhash64("file_id"), F.lit(8)))
     new.sortWithinPartitions("game_id", "section", "file_id", "index").write.partitionBy("game_id", "section").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    for r in gone:
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/game_id={r['game_id']}/section={r['section']}")
+        part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True)

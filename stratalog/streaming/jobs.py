@@ -59,11 +59,16 @@ def _run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterat
         most = None if pd.isna(e.max_attempts) else int(e.max_attempts)
         now, ok = step(tuple(now), e.event, float(e.at), None if pd.isna(e.worker) else e.worker, float(e.lease_s) if not pd.isna(e.lease_s) else 0.0, bool(e.deterministic) if not pd.isna(e.deterministic) else False, most)
         rows.append((key[0], e.seq, e.event, ok, now[0], now[1], now[3], now[4]))
-    state.update(now)
+    if now[0] in FINAL:  # forgotten: later events but an enqueue are refused all the same
+        if state.exists:
+            state.remove()
+    else:
+        state.update(now)
     yield pd.DataFrame(rows, columns=["job_id", "seq", "event", "accepted", "status", "worker", "attempts", "available_at"])
 
 
 def job_states(events: DataFrame) -> DataFrame:
     """Of a stream with job_id, seq, at (seconds), event, worker, lease_s, deterministic, max_attempts: what became of
-    each event. A job's events of one batch are held by one task; the state is six values a job."""
+    each event. A job's events of one batch are held by one task; the state is six values a job, and none
+    once a job has ended."""
     return events.groupBy("job_id").applyInPandasWithState(_run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

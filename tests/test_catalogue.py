@@ -1,9 +1,12 @@
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog import catalogue
-from stratalog.operators import paging
+from stratalog.functions import keys
+from stratalog.operators import graph, paging, searching
 from stratalog.sources import binary
 
 DATA = "/root/testdata/sf0.001"
@@ -37,6 +40,55 @@ def test_pages_concatenate(spark):
         assert got == whole
 
 
+def test_pages_with_nulls_lose_no_rows(spark):
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else i % 3, None if i % 5 == 0 else i % 7) for i in range(60)], "id long, a long, b long")
+    for sort in ([("a", True), ("b", False), ("id", True)], [("a", False), ("b", True), ("id", False)]):
+        whole = [tuple(r) for r in rows.orderBy(*paging.order(sort)).collect()]
+        got, part = [], paging.fetch(rows, sort, 7)
+        assert not part.has_previous
+        while True:
+            got += [tuple(r) for r in part.rows]
+            if not part.has_next:
+                break
+            part = paging.fetch(rows, sort, 7, part.last, "next")
+        assert got == whole and part.has_previous
+        got, part = [], paging.fetch(rows, sort, 7, direction="last")
+        assert not part.has_next
+        while True:
+            got = [tuple(r) for r in part.rows] + got
+            if not part.has_previous:
+                break
+            part = paging.fetch(rows, sort, 7, part.first, "prev")
+        assert got == whole
+    assert paging.fetch(rows.limit(0), sort, 7) == paging.Page([], False, False, None, None)
+    assert [paging.last_size(n, 50) for n in (0, 7, 50, 120)] == [0, 7, 50, 20]
+
+
+def test_natural_keys_of_any_length(spark):
+    names = ["a2", "A10", "a010b", "v1000000000000000000001", "v10000000000000000000019", "v9", "a", "", "007", "7x"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(keys.natural_key(F.col("n")), "n").collect()]
+    split = lambda n: [(0, int(p)) if p.isdigit() else (1, p) for p in re.findall(r"\d+|\D+", n.lower())]
+    assert got == sorted(names, key=lambda n: (split(n), n))
+
+
+def test_terms_that_are_all_short_find_nothing(spark):
+    rows = spark.createDataFrame([("some words here",)], "t string")
+    assert rows.where(searching.token_prefix(F.col("t"), ["of", "a"])).count() == 0 and rows.where(searching.token_prefix(F.col("t"), ["word", "of"])).count() == 1
+
+
+def test_closure_says_when_it_is_cut(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    assert {(r.node, r.depth) for r in graph.closure(edges, [3]).collect()} == {(i, i - 3) for i in range(3, 13)}
+    with pytest.raises(ValueError):
+        graph.closure(edges, [0], max_depth=5)
+
+
+def test_job_trees_deeper_than_a_hundred(spark, tmp_path):
+    spark.createDataFrame([(1, t) for t in range(150)], "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalogue.QUERIES["job_subtree"](spark, str(tmp_path)).agg({"depth": "max"}).first()
+    assert got[0] == 149
+
+
 def test_cursor_is_bound():
     token = paging.sign([1, "x"], "list", b"key")
     assert paging.verify(token, "list", b"key") == [1, "x"]
@@ -52,6 +104,22 @@ def test_binary_round_trips():
     for data in [b"", b"a", b"aaaaaaaaaaaaaaaaaaaaaaaa", b"banana" * 50, bytes(range(256)) * 3, b"\x00" * 700]:
         assert binary.decompress(binary.compress(data)) == data
     assert binary.parse_header(b"\x01")["status"] == "truncated"
+    for bad in (b"\x7f\xff\xff\xff\xff", b"\x7f\xff\xff\xff\x7f"):
+        with pytest.raises(ValueError):
+            binary.read_compact_index(bad)
+
+
+def test_binary_columns_equal_the_readers(spark):
+    numbers = [0, 1, -1, 63, 64, -64, 8191, 8192, 1 << 20, -(1 << 27), (1 << 31) - 1]
+    rows = spark.createDataFrame([(v, bytearray(binary.write_compact_index(v))) for v in numbers], "v int, b binary")
+    for r in rows.select("v", "b", binary.encode_compact_index(F.col("v")).alias("e"), binary.compact_index_column(F.col("b")).alias("d")).collect():
+        assert bytes(r.e) == bytes(r.b) and r.d == r.v
+    bad = spark.createDataFrame([(bytearray(b"\x7f\xff\xff\xff\xff"),), (bytearray(b"\x40"),)], "b binary")
+    assert [r.d for r in bad.select(binary.compact_index_column(F.col("b")).alias("d")).collect()] == [None, None]
+    head = binary.probe_headers(spark.range(300).select("id", binary.legacy_header(F.col("id") * 3 - 5, F.col("id")).alias("data")), "data").collect()
+    for r in head:
+        want = binary.parse_header(bytes(r.data))
+        assert {k: r[k] for k in want} == want, r
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

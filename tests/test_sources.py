@@ -82,6 +82,15 @@ def test_codecs():
         codecs.decode("none", b"xy", 1)
 
 
+def test_publication_takes_a_file_out_of_other_sections(spark, tmp_path):
+    path = str(tmp_path / "s")
+    row = lambda game, section, f, tag: (game, section, f, 0, tag)
+    publish = lambda rows, n: sections.publish(spark.createDataFrame(rows, sections.SCHEMA), path, str(tmp_path / f"st{n}"))
+    publish([row(1, "names", 1, "a"), row(1, "exports", 1, "a"), row(1, "exports", 2, "a"), row(1, "imports", 1, "a")], 1)
+    publish([row(1, "names", 1, "b")], 2)
+    assert {(r.section, r.file_id, r.payload) for r in sections.read(spark, path).collect()} == {("names", 1, "b"), ("exports", 2, "a")}
+
+
 def test_sections(spark, tmp_path):
     def rows(files, tag):
         return spark.createDataFrame([(1 + f % 2, "names", f, i, f"{tag}{f}.{i}") for f in files for i in range(5)], sections.SCHEMA)
