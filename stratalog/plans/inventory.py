@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.keys import quick_fingerprint
 from ..operators.joins import either_key, neither_key
 from ..operators.rollup import n_if
 from ..registry import query
@@ -118,3 +119,12 @@ def misnamed_candidates(spark, sf):
 @query(f"WITH {_D} SELECT ext, game, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(count(*) FILTER (WHERE size = 0) AS BIGINT) AS empty FROM d GROUP BY ALL")
 def storage_by_type(spark, sf):
     return items(spark, sf).groupBy("ext", "game").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), n_if(F.col("size") == 0).alias("empty"))
+
+
+@query("""WITH h AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS h, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT page_id, sha256(concat_ws(':', n::VARCHAR, substr(h, 1, 128), substr(h, 2 * floor(n / 4)::INT + 1, 128), substr(h, 2 * floor(n / 2)::INT + 1, 128), substr(h, 2 * floor(n * 3 / 4)::INT + 1, 128), substr(h, 2 * greatest(0, n - 64) + 1, 128))) AS fingerprint FROM h)
+SELECT fingerprint, count(*) AS sources, min(page_id) AS first_source FROM f GROUP BY fingerprint""")
+def source_fingerprints(spark, sf):
+    """Sources by their quick fingerprint: five windows of 64 bytes here."""
+    p = table(spark, sf, "pages").select("page_id", quick_fingerprint(F.coalesce("html", F.lit("")).cast("binary"), 64).alias("fingerprint"))
+    return p.groupBy("fingerprint").agg(F.count("*").alias("sources"), F.min("page_id").alias("first_source"))

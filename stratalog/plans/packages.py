@@ -75,7 +75,9 @@ def _imports(spark, sf):
     return p.withColumn("outer_index", up.cast("int")).drop("size")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT (p_partkey % 50)::BIGINT AS file_id, (p_partkey // 50 + 1)::INT AS index, p_name AS object_name, CASE WHEN p_size % 7 = 0 THEN 0 WHEN p_size % 11 = 0 THEN p_partkey // 50 + 1 ELSE p_partkey // 50 END::INT AS outer_index FROM part),
+c AS (SELECT file_id, index, outer_index AS at, object_name AS path, 1 AS hops FROM b UNION ALL SELECT c.file_id, c.index, b.outer_index, b.object_name || '.' || c.path, hops + 1 FROM c JOIN b ON b.file_id = c.file_id AND b.index = c.at WHERE c.at <> 0 AND hops < 128)
+SELECT b.file_id, b.index, c.path FROM b LEFT JOIN c ON c.file_id = b.file_id AND c.index = b.index AND c.at = 0""")
 def outer_chain_paths(spark, sf):
     return outer_paths(_imports(spark, sf))
 

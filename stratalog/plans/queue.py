@@ -80,3 +80,24 @@ def blocked_work(spark, sf):
     j = jobs(spark, sf)
     running = j.where("status = 'running'").select("parent", "queue").distinct()
     return j.where("status = 'queued'").select("parent").join(running, "parent").groupBy("queue").agg(F.countDistinct("parent").alias("blocked_roots"), F.count("*").alias("blocked"))
+
+
+_ENQ = "e AS (SELECT event_id, event_type, user_id, ts, event_type || ':' || user_id AS dedupe_key, event_type IN ('view', 'click') AS active FROM events)"
+
+
+@query(f"WITH {_ENQ}, k AS (SELECT dedupe_key, min(event_id) AS job_id, count(*) AS asked FROM e WHERE active GROUP BY dedupe_key) SELECT job_id, dedupe_key, asked - 1 AS refused FROM k UNION ALL SELECT event_id, dedupe_key, 0 FROM e WHERE NOT active")
+def enqueue_deduplicated(spark, sf):
+    """Jobs after enqueueing: one for each active key, the first asked for, with how many were refused; ended ones stand alone."""
+    e = table(spark, sf, "events").select("event_id", F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("dedupe_key"), F.col("event_type").isin("view", "click").alias("active"))
+    k = e.where("active").groupBy("dedupe_key").agg(F.min("event_id").alias("job_id"), (F.count("*") - 1).alias("refused"))
+    return k.select("job_id", "dedupe_key", "refused").unionByName(e.where("NOT active").select(F.col("event_id").alias("job_id"), "dedupe_key", F.lit(0).cast("long").alias("refused")))
+
+
+@query("WITH u AS (SELECT o_custkey AS workflow, o_orderkey AS file_id, floor((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) / 4)::BIGINT AS unit FROM orders) SELECT workflow, unit, count(*) AS files, min(file_id) AS first_file, max(file_id) AS last_file FROM u GROUP BY ALL")
+def bulk_units(spark, sf):
+    """A workflow's files in units of four, in order."""
+    from pyspark.sql import Window as W
+
+    at = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    u = table(spark, sf, "orders").select(F.col("o_custkey").alias("workflow"), F.col("o_orderkey").alias("file_id"), F.floor((at - 1) / 4).alias("unit"))
+    return u.groupBy("workflow", "unit").agg(F.count("*").alias("files"), F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"))

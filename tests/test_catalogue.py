@@ -10,7 +10,7 @@ from stratalog.operators import graph, paging, searching
 from stratalog.sources import binary
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["dependency_package_summary", "missing_by_file", "current_edges", "geoip_lookup", "event_promotion_15s", "file_page_next", "provider_selection", "duplicate_keepers", "game_match_rank", "job_subtree"]
+SAMPLE = ["dependency_package_summary", "missing_by_file", "current_edges", "geoip_lookup", "event_promotion_15s", "file_page_next", "provider_selection", "duplicate_keepers", "game_match_rank", "job_subtree", "statistics_freshness", "missing_totals_when_current", "game_pass", "unresolved_by_file", "search_core_files", "search_broad", "file_list_sorts", "profile_admission", "container_blocks", "section_export_csv", "effective_names", "inventory_by_either_key", "outer_chain_paths"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
