@@ -118,9 +118,12 @@ def verify_pair(imports: list[tuple], exports: list[tuple], engine: int) -> list
             if rows[i][4] >= 0:
                 break
             i = -rows[i][4] - 1
-        for j in reversed(path):
+        # only a cycle's own imports, or the one whose parent is lost, are broken; those below have an unresolved parent
+        cut = path.index(i) if broken == "cycle" else len(path) - 1 if broken else len(path)
+        for k in range(len(path) - 1, -1, -1):
+            j = path[k]
             outer = rows[j][4]
-            done[j] = ("unresolved", broken, None) if broken else _one(rows[j], done.get(-outer - 1) if outer < 0 else None, provider)
+            done[j] = ("unresolved", broken, None) if k >= cut else _one(rows[j], done.get(-outer - 1) if outer < 0 else None, provider)
     return [(i, *done[i]) for i in rows]
 
 

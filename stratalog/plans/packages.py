@@ -82,7 +82,13 @@ def outer_chain_paths(spark, sf):
     return outer_paths(_imports(spark, sf))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT (p_partkey % 50)::BIGINT AS pair_id, (p_partkey // 50 + 1)::INT AS index, lower(p_name) AS n, lower(p_type) AS t, CASE WHEN p_size % 7 = 0 THEN 0 WHEN p_size % 11 = 0 THEN p_partkey // 50 + 1 ELSE p_partkey // 50 END::INT AS up FROM part),
+x AS (SELECT b.pair_id, b.n, b.t, CASE WHEN r.pair_id IS NOT NULL THEN 0 ELSE b.up + 1 END AS at, min(b.index) FILTER (WHERE b.index % 5 <> 0) AS pub, min(b.index) AS any FROM b LEFT JOIN b r ON r.pair_id = b.pair_id AND r.index = b.up AND r.up = 0 WHERE b.up <> 0 AND b.index % 3 <> 0 GROUP BY ALL),
+v AS (SELECT b.pair_id, b.index, CASE WHEN b.up = 0 THEN 'package' ELSE 'unresolved' END AS status, CASE WHEN b.up = b.index THEN 'cycle' WHEN b.up <> 0 THEN 'lost_parent' END AS reason, NULL::INT AS export_index FROM b LEFT JOIN b p ON p.pair_id = b.pair_id AND p.index = b.up WHERE b.up = 0 OR b.up = b.index OR p.pair_id IS NULL
+UNION ALL SELECT b.pair_id, b.index, CASE WHEN v.status NOT IN ('package', 'resolved') THEN 'unresolved' WHEN x.any IS NULL THEN 'missing' WHEN x.pub IS NULL THEN 'private_export' ELSE 'resolved' END,
+  CASE WHEN v.status NOT IN ('package', 'resolved') THEN 'parent' WHEN x.any IS NULL THEN 'no_match' WHEN x.pub IS NULL THEN 'private' END, CASE WHEN v.status IN ('package', 'resolved') THEN x.pub END
+  FROM v JOIN b ON b.pair_id = v.pair_id AND b.up = v.index AND b.up <> b.index LEFT JOIN x ON x.pair_id = b.pair_id AND x.n = b.n AND x.t = b.t AND x.at = CASE WHEN v.status = 'package' THEN 0 ELSE v.export_index + 1 END)
+SELECT * FROM v""")
 def verify_import_outcomes(spark, sf):
     """Chains of parents, with cycles, by the rules of engine 4; two thirds of the objects are exported, a fifth of them privately."""
     rows = _imports(spark, sf).withColumnRenamed("file_id", "pair_id").withColumn("root", F.col("outer_index") == 0)
