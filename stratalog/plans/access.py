@@ -48,7 +48,7 @@ def access_filtered_groups(spark, sf):
 @query(f"SELECT event_id, user_id, country FROM events LEFT JOIN (VALUES {', '.join(f'({a}, {b}, {chr(39)}{c}{chr(39)})' for a, b, c in RANGES)}) AS r(lo, hi, country) ON user_id BETWEEN lo AND hi")
 def geoip_lookup(spark, sf):
     ranges = spark.createDataFrame(RANGES, "lo long, hi long, country string")
-    return range_lookup(table(spark, sf, "events").select("event_id", "user_id"), ranges, "user_id", "lo", "hi", "country", width=64)
+    return range_lookup(table(spark, sf, "events").select("event_id", "user_id"), ranges, "user_id", "lo", "hi", "country")
 
 
 @query("""WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')

@@ -317,4 +317,4 @@ _BANDS = [(0, 99, "small"), (100, 499, "medium"), (500, 9_999, "large")]
 @query(f"WITH {_D} SELECT doc_id, size, CASE " + " ".join(f"WHEN size BETWEEN {lo} AND {hi} THEN '{b}'" for lo, hi, b in _BANDS) + " END AS band FROM d")
 def size_bands(spark, sf):
     bands = spark.createDataFrame(_BANDS, "lo long, hi long, band string")
-    return range_lookup(items(spark, sf).select("doc_id", "size"), bands, "size", "lo", "hi", "band", 500)
+    return range_lookup(items(spark, sf).select("doc_id", "size"), bands, "size", "lo", "hi", "band")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalog import catalogue
 from stratalog.functions import keys
-from stratalog.operators import graph, paging, searching
+from stratalog.operators import graph, joins, paging, searching
 from stratalog.sources import binary
 
 DATA = "/root/testdata/sf0.001"
@@ -89,6 +89,17 @@ def test_job_trees_deeper_than_a_hundred(spark, tmp_path):
     assert got[0] == 149
 
 
+def test_ranges_of_any_length(spark):
+    ranges = [(0, 0, "a"), (1, 6, "b"), (7, 8, "c"), (100, 16_777_315, "d"), (16_777_316, (1 << 32) - 1, "e"), (60, 50, "none")]
+    values = [None, 0, 1, 3, 6, 7, 8, 9, 55, 99, 100, 5_000_000, 16_777_315, 16_777_316, (1 << 32) - 1, 1 << 32, 3, 3]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, ip long")
+    got = joins.range_lookup(rows, spark.createDataFrame(ranges, "lo long, hi long, country string"), "ip", "lo", "hi", "country").collect()
+    want = {i: next((c for lo, hi, c in ranges if v is not None and lo <= v <= hi), None) for i, v in enumerate(values)}
+    assert {r.id: r.country for r in got} == want and len(got) == len(values)
+    empty = joins.range_lookup(rows, spark.createDataFrame([], "lo long, hi long, country string"), "ip", "lo", "hi", "country")
+    assert empty.count() == len(values) and empty.where("country IS NOT NULL").count() == 0
+
+
 def test_cursor_is_bound():
     token = paging.sign([1, "x"], "list", b"key")
     assert paging.verify(token, "list", b"key") == [1, "x"]
