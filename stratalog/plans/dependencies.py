@@ -34,7 +34,9 @@ def game_catalog_stats(spark, sf):
     fs = files(spark, sf)
     f = fs.groupBy("game_id").agg(F.count("*").alias("file_count"), n_if(F.col("status") == "F").alias("verified_count"), n_if(F.col("status") == "O").alias("pending_count"), n_if(F.col("status") == "P").alias("failed_count"), F.round(F.sum("size"), 2).alias("total_bytes"), F.min("uploaded_at").alias("first_upload"), F.max("uploaded_at").alias("last_upload"))
     owned = edges(spark, sf).join(fs.where("status = 'F'").select("file_id", "game_id"), "file_id")
-    d = owned.groupBy("game_id").agg(F.count("*").alias("dependency_count"), n_if(F.col("outcome") == 0).alias("missing_count"), n_if(F.col("outcome") == 1).alias("resolved_count"), n_if(F.col("outcome") == 2).alias("package_only_count"), F.countDistinct("package").alias("package_count"))
+    # by package first, so the number of different packages is a count of rows
+    by_package = owned.groupBy("game_id", "package").agg(F.count("*").alias("dependency_count"), n_if(F.col("outcome") == 0).alias("missing_count"), n_if(F.col("outcome") == 1).alias("resolved_count"), n_if(F.col("outcome") == 2).alias("package_only_count"))
+    d = by_package.groupBy("game_id").agg(*(F.sum(c).alias(c) for c in ("dependency_count", "missing_count", "resolved_count", "package_only_count")), F.count("package").alias("package_count"))
     out = table(spark, sf, "nation").select(F.col("n_nationkey").alias("game_id"), F.col("n_name").alias("game")).join(f, "game_id", "left").join(d, "game_id", "left")
     zero = [c for c in out.columns if c.endswith("_count")]
     out = out.fillna(0, zero)
