@@ -2,42 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _keeper(spark):
-    """Writes a table of a round to the shared folder of checkpoints; without one (tests) it is cached."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return lambda df: df.cache()
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder}/closure-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
+from ..session import scratch_folder
 
 
 def closure(edges: DataFrame, roots: list | DataFrame, max_depth: int = 10_000) -> DataFrame:
     """node, depth of all that roots (values, or a table with column node) reach over edges (src, dst).
 
-    A round joins the frontier alone with the edges and leaves out what earlier rounds saw; each round's nodes are written
-    once and appended, none is written again. Raises ValueError if nodes are left at max_depth."""
+    A round joins the frontier alone with the edges and leaves out what earlier rounds saw. Each round's nodes are written
+    once, as a part of one table in the shared folder, so plans stay small and a lost executor costs a round at most.
+    Raises ValueError if nodes are left at max_depth."""
     spark = edges.sparkSession
-    keep = _keeper(spark)
-    edges = keep(edges.select("src", "dst"))
+    folder = scratch_folder(spark, "closure")
+    edges = edges.select("src", "dst")
+    edges.write.parquet(f"{folder}/edges")
+    edges = spark.read.schema(edges.schema).parquet(f"{folder}/edges")
     if not isinstance(roots, DataFrame):
         roots = spark.createDataFrame([(r,) for r in roots], "node long")
-    rounds = [keep(roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))]
-    while not rounds[-1].isEmpty():
-        if len(rounds) > max_depth:
+
+    def add(nodes: DataFrame, depth: int) -> DataFrame:
+        nodes = nodes.select("node", F.lit(depth).cast("long").alias("depth"))
+        path = f"{folder}/rounds/round={depth}"
+        nodes.write.parquet(path)
+        return spark.read.schema(nodes.schema).parquet(path)
+
+    def seen() -> DataFrame:
+        return spark.read.schema(frontier.schema).parquet(f"{folder}/rounds").select("node", "depth")
+
+    depth, frontier = 0, add(roots.select("node").distinct(), 0)
+    while not frontier.isEmpty():
+        if depth >= max_depth:
             raise ValueError(f"the closure is deeper than {max_depth}")
-        found = edges.join(rounds[-1].select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, rounds)
-        rounds.append(keep(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(len(rounds)).cast("long"))))
-    return reduce(DataFrame.unionByName, rounds)
+        depth += 1
+        found = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = add(found.join(seen(), "node", "left_anti"), depth)
+    return seen()

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators.rollup import n_if
 from ..registry import query
+from ..session import scratch_folder
 from ..sources import containers
 from ..tables import table
 
@@ -78,14 +77,7 @@ def registry_dependencies(spark, sf):
 
 def _exchange(spark, df, form: str):
     """df written to and read back from the shared folder as CSV or JSON lines: quotes, line ends and nulls survive."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="stratalog-")
-    path = f"{folder}/exchange-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "exchange")
     options = {"header": "true", "multiLine": "true", "escape": '"', "nullValue": "\\N", "emptyValue": ""} if form == "csv" else {}
     df.write.format(form).options(**options).save(path)
     return spark.read.schema(df.schema).format(form).options(**options).load(path)
