@@ -104,7 +104,8 @@ def verify_import_outcomes(spark, sf):
 
 @query("SELECT (l_partkey * 7919 - 800000)::INT AS expected, (l_partkey * 7919 - 800000)::INT AS decoded FROM lineitem")
 def compact_index(spark, sf):
-    p = table(spark, sf, "lineitem").select((F.col("l_partkey") * 7919 - 800000).cast("int").alias("expected"))
+    """A round trip a line. Numbers of more than 31 bits have no compact index: their rows are null in both columns."""
+    p = table(spark, sf, "lineitem").select((F.col("l_partkey") * 7919 - 800000).try_cast("int").alias("expected"))
     return p.select("expected", encode_compact_index(F.col("expected")).alias("data")).select("expected", compact_index_column(F.col("data")).alias("decoded"))
 
 

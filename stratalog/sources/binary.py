@@ -40,8 +40,9 @@ def write_compact_index(value: int) -> bytes:
 
 
 def encode_compact_index(value: Column) -> Column:
-    """write_compact_index as a column expression."""
+    """write_compact_index as a column expression: null for numbers of more than 31 bits, which have no compact index."""
     n = F.abs(value.cast("long"))
+    n = F.when(n <= 0x7FFFFFFF, n)
     first = F.when(value < 0, 128).otherwise(0) + F.when(n > 63, 64).otherwise(0) + n.bitwiseAND(63)
     byte = lambda x: F.lpad(F.hex(x), 2, "0")
     out = byte(first.cast("long"))

@@ -133,6 +133,14 @@ def test_binary_columns_equal_the_readers(spark):
         assert {k: r[k] for k in want} == want, r
 
 
+def test_compact_index_takes_large_keys(spark, tmp_path):
+    spark.createDataFrame([(0,), (19_999,), (1_199_999,), (None,)], "l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in catalogue.QUERIES["compact_index"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(-800_000,) * 2, (157_572_081,) * 2, (None, None), (None, None)], key=str)
+    long = spark.createDataFrame([(1 << 31,), (-(1 << 31) - 1,), (1 << 40,)], "v long").select(binary.encode_compact_index(F.col("v")).alias("e"))
+    assert [r.e for r in long.collect()] == [None] * 3
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_package_closure_against_brute_force(spark):
     read = lambda t, *cols: spark.read.parquet(f"{DATA}/{t}.parquet").select(*cols).collect()
