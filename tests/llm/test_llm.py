@@ -146,6 +146,13 @@ def test_elias_fano():
         assert (e.access(np.arange(len(vals))) == vals).all() and (e.find(vals) == np.arange(len(vals))).all()
 
 
+def test_quantised_values_come_from_all():
+    x = np.zeros((1 << 21) + 2)  # a step through these would see the zeros alone
+    x[1::2] = np.arange(len(x) // 2) % 200 + 1.0
+    code, table = ngramlm.quantise(x)
+    assert np.abs(table[code] - x).max() < 1
+
+
 def test_lm_base_and_probability(spark):
     rows = some(spark)
     train, found = {}, {}
