@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rollup import n_if
 from ..registry import query
-from ..tables import EDGES_SQL, FILES_SQL, edges, files, table
+from ..tables import EDGES_SQL, FILES_SQL, edges, files, owned_edges, table
 
 NATIVE = ("Brand#11", "Brand#12", "Brand#13")
 _NAT = "('Brand#11', 'Brand#12', 'Brand#13')"
@@ -81,7 +81,7 @@ def game_match_rank(spark, sf):
 @query(f"""WITH {EDGES_SQL}, {FILES_SQL}, e AS (SELECT game_id, package, object_id, outcome FROM edges JOIN files USING (file_id)), miss AS (SELECT DISTINCT game_id, object_id FROM e WHERE outcome = 0), own AS (SELECT DISTINCT game_id, object_id FROM e WHERE outcome = 1)
 SELECT m.game_id AS target_game, o.game_id AS source_game, count(*) AS objects FROM miss m JOIN own o ON m.object_id = o.object_id AND m.game_id <> o.game_id JOIN nation a ON a.n_nationkey = m.game_id JOIN nation b ON b.n_nationkey = o.game_id WHERE a.n_regionkey = b.n_regionkey GROUP BY ALL""")
 def cross_examine(spark, sf):
-    e = edges(spark, sf).join(files(spark, sf).select("file_id", "game_id"), "file_id")
+    e = owned_edges(spark, sf)
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("game_id"), F.col("n_regionkey").alias("family"))
     e = e.join(nation, "game_id")
     miss = e.where("outcome = 0").select(F.col("game_id").alias("target_game"), "family", "object_id").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a task sorts or keeps in a hash table, where the rows of a key are few.
+TASK_ROWS = 500_000
 #: Which outcome a pair of flags stands for.
 OUTCOME = "CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 1 WHEN l_returnflag = 'A' THEN 2 WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 0 WHEN l_returnflag = 'N' THEN 4 WHEN l_linestatus = 'F' THEN 1 ELSE 0 END"
 
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows dealt by a key over so many tasks that each holds TASK_ROWS of n rows: adaptive execution joins small partitions
+    by their compressed bytes, but sorts and hash tables hold them whole."""
+    return rows.repartition(max(1, -(-n // TASK_ROWS)), key)
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("package"), F.col("p_name").alias("object_name"))
     line = table(spark, sf, "lineitem").select(
@@ -34,3 +42,10 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderpriority").alias("priority"), (F.col("o_custkey") % 7 != 0).alias("payload_current"), (F.col("o_orderpriority") != "5-LOW").alias("policy_current"),
     )
     return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).drop("o_custkey", "c_custkey")
+
+
+def owned_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges with their file's game, the rows of a file in one task: what groups them by file moves none again."""
+    n = table(spark, sf, "lineitem").count()  # from the files' footers
+    owner = files(spark, sf).select("file_id", "game_id")
+    return dealt(edges(spark, sf), n, "file_id").join(dealt(owner, n, "file_id"), "file_id")

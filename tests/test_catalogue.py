@@ -27,6 +27,16 @@ def test_query_equals_sql(spark, name):
     assert sorted(key(df.columns, r) for r in df.collect()) == sorted(key(want.columns, r) for r in want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["rebuilt_consumers"])
+def test_tasks_hold_a_bounded_number_of_rows(spark, name, monkeypatch):
+    monkeypatch.setattr("stratalog.tables.TASK_ROWS", 100)
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(file_id#\d+L?, {-(-lines // 100)}\)", plan)
+    test_query_equals_sql(spark, name)
+
+
 def test_pages_concatenate(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 5) for i in range(40)], "id long, a long, b long")
     sort = [("a", True), ("b", False), ("id", True)]
