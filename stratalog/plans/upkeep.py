@@ -10,7 +10,7 @@ from ..operators import graph
 from ..operators.joins import either_key
 from ..operators.rollup import n_if
 from ..registry import query
-from ..tables import EDGES_SQL, FILES_SQL, edges, files, table
+from ..tables import EDGES_SQL, FILES_SQL, edges, files, owned_edges, table
 
 #: Files need what the providers of their resolved edges are; a provider's own needs are those of the file with its number.
 _NEEDS = f"{EDGES_SQL}, {FILES_SQL}, needs AS (SELECT DISTINCT file_id AS src, CAST(provider * 7 + 1 AS BIGINT) AS dst FROM edges WHERE outcome = 1)"
@@ -201,6 +201,7 @@ def export_classes(spark, sf):
 SELECT game_id, count(*) AS consumers, CAST(count(*) FILTER (WHERE lacking = 0) AS BIGINT) AS complete, CAST(count(*) FILTER (WHERE lacking = required) AS BIGINT) AS empty, CAST(sum(lacking) AS BIGINT) AS lacking FROM c GROUP BY game_id""")
 def consumer_completeness(spark, sf):
     """How many consumers of a game have all, or none, of the packages that they require."""
-    e = edges(spark, sf).join(files(spark, sf).select("file_id", "game_id"), "file_id")
-    c = e.groupBy("game_id", "file_id").agg(F.countDistinct("package").alias("required"), F.countDistinct(F.when(F.col("outcome") == 0, F.col("package"))).alias("lacking"))
+    packages = owned_edges(spark, sf).groupBy("game_id", "file_id", "package").agg(F.bool_or(F.col("outcome") == 0).alias("missing"))
+    named = F.col("package").isNotNull()
+    c = packages.groupBy("game_id", "file_id").agg(n_if(named).alias("required"), n_if(named & F.col("missing")).alias("lacking"))
     return c.groupBy("game_id").agg(F.count("*").alias("consumers"), n_if(F.col("lacking") == 0).alias("complete"), n_if(F.col("lacking") == F.col("required")).alias("empty"), F.sum("lacking").alias("lacking"))
