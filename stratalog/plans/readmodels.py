@@ -9,7 +9,7 @@ from ..functions.keys import name_key
 from ..operators.joins import range_lookup
 from ..operators.rollup import n_if
 from ..registry import query
-from ..tables import EDGES_SQL, FILES_SQL, edges, files, table
+from ..tables import EDGES_SQL, FILES_SQL, edges, files, owned_edges, table
 from .inventory import _D, items
 from .queue import _J, NOW, jobs
 
@@ -30,8 +30,9 @@ def dashboard_counters(spark, sf):
 
 @query(f"WITH {EDGES_SQL}, {FILES_SQL} SELECT lower(package) AS package, game_id, count(*) AS refs, count(DISTINCT file_id) AS files FROM edges JOIN files USING (file_id) GROUP BY ALL")
 def reference_matches(spark, sf):
-    e = edges(spark, sf).select("file_id", "package").join(files(spark, sf).select("file_id", "game_id"), "file_id")
-    return e.groupBy(F.lower("package").alias("package"), "game_id").agg(F.count("*").alias("refs"), F.countDistinct("file_id").alias("files"))
+    """By file first, so the number of files is a count of rows."""
+    by_file = owned_edges(spark, sf).groupBy("file_id", "game_id", F.lower("package").alias("package")).agg(F.count("*").alias("refs"))
+    return by_file.groupBy("package", "game_id").agg(F.sum("refs").alias("refs"), F.count("*").alias("files"))
 
 
 @query(f"WITH {_D} SELECT game, md5, min(doc_id) AS first_id, count(*) AS copies FROM d GROUP BY ALL")

@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["rebuilt_consumers", "consumer_completeness"])
+@pytest.mark.parametrize("name", ["rebuilt_consumers", "consumer_completeness", "reference_matches"])
 def test_tasks_hold_a_bounded_number_of_rows(spark, name, monkeypatch):
     monkeypatch.setattr("stratalog.tables.TASK_ROWS", 100)
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
