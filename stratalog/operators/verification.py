@@ -7,9 +7,12 @@ parent is verified before it, without recursion, with cycles and lost parents fo
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ OUTCOMES = {"resolved": RESOLVED, "package": PACKAGE_ONLY, "private_export": MIS
 #: Class packages that stand for one another, and the class that a mesh may have become. Fixed values.
 SAME_PACKAGES, MESH = frozenset({"unreali", "unrealshare"}), ("mesh", "lodmesh")
 REDIRECTOR = "objectredirector"
+#: Results that a task hands on at once, or those of one pair.
+ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -130,18 +135,41 @@ def verify_pair(imports: list[tuple], exports: list[tuple], engine: int) -> list
 def verify_imports(imports: DataFrame, exports: DataFrame, engine: int) -> DataFrame:
     """pair_id, index, status, reason, export_index of every import. imports: pair_id, index, object_name, class_name,
     class_package, outer_index, referenced; exports: pair_id, index, object_name, class_name, class_package, outer_index, flags."""
-    names = ["index", "object_name", "class_name", "class_package", "outer_index"]
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda df, last: list(df[[*names, last]].astype(object).where(df[[*names, last]].notna(), None).itertuples(index=False, name=None))
-        found = verify_pair(rows(left, "referenced"), [e for e in rows(right, "flags") if e[1] is not None and e[2] is not None], engine)
-        out = pd.DataFrame(found, columns=["index", "status", "reason", "export_index"]).astype({"export_index": "Int32"})
-        out.insert(0, "pair_id", left["pair_id"].iloc[0] if len(left) else 0)
-        return out
-
-    imports = imports.select("pair_id", *names, "referenced")
-    exports = exports.select(*(F.col(c).alias(c) for c in ("pair_id", *names, "flags")))  # apart from imports of the same source
-    return imports.groupBy("pair_id").cogroup(exports.groupBy("pair_id")).applyInPandas(run, "pair_id long, index int, status string, reason string, export_index int")
+    return verify_engines(imports, exports, [engine]).drop("engine")
+
+
+def verify_engines(imports: DataFrame, exports: DataFrame, engines: Iterable[int]) -> DataFrame:
+    """verify_imports by the rules of several engines, with their number as column engine: pairs are dealt and read once.
+
+    A task reads its pairs one after another in Arrow batches of any number of pairs, so a small pair costs no frame of its
+    own."""
+    names, engines = ["index", "object_name", "class_name", "class_package", "outer_index"], list(engines)
+    side = lambda df, n, referenced, flags: df.select("pair_id", F.lit(n).alias("side"), *names, referenced.cast("boolean").alias("referenced"), flags.cast("long").alias("flags"))
+    rows = side(imports, 0, F.col("referenced"), F.lit(None)).unionByName(side(exports.where("object_name IS NOT NULL AND class_name IS NOT NULL"), 1, F.lit(None), F.col("flags")))
+    kinds = {"pair_id": pa.int64(), "engine": pa.int32(), "index": pa.int32(), "status": pa.string(), "reason": pa.string(), "export_index": pa.int32()}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for pair, group in groupby((row for batch in it for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=itemgetter(0)):
+            left, right = [], []
+            for _, exported, *row, referenced, flags in group:
+                (right if exported else left).append((*row, flags if exported else referenced))
+            for engine in engines if left else ():
+                out += [(pair, engine, *r) for r in verify_pair(left, right, engine)]
+            if len(out) >= ROWS:
+                yield _batch(out, kinds)
+                out = []
+        if out:
+            yield _batch(out, kinds)
+
+    # dealt by a hash of the pair: by the pair itself Spark takes the two sides, where each is dealt so, as dealt together,
+    # and adaptive execution then parts them
+    dealt = rows.repartition(F.xxhash64("pair_id")).sortWithinPartitions("pair_id", "side", "index")
+    return dealt.mapInArrow(run, "pair_id long, engine int, index int, status string, reason string, export_index int")
+
+
+def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 def outcome(status: Column) -> Column:

@@ -148,11 +148,8 @@ SELECT engine, pair_id, i AS index, CASE WHEN found AND public THEN 'resolved' W
 UNION ALL SELECT engine, pair_id, 0, 'package', 2 FROM (SELECT DISTINCT pair_id FROM part_rows), (SELECT unnest([1, 2, 3, 4, 5]) AS engine)""")
 def import_outcomes_by_engine(spark, sf):
     imports, exports = _flat_pairs(spark, sf)
-    out = None
-    for engine in verification.RULES:
-        v = verification.verify_imports(imports, exports, engine).select(F.lit(engine).alias("engine"), "pair_id", "index", "status", verification.outcome(F.col("status")).alias("outcome"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    v = verification.verify_engines(imports, exports, verification.RULES)
+    return v.select("engine", "pair_id", "index", "status", verification.outcome(F.col("status")).alias("outcome"))
 
 
 _KIND = "CASE WHEN l_linenumber % 5 = 0 THEN 'script' WHEN l_linenumber % 7 = 0 THEN 'null' ELSE 'package' END"

@@ -1,6 +1,8 @@
 import os
 import re
+import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,21 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, name, monkeypatch):
     test_query_equals_sql(spark, name)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pairs_of_all_engines_are_read_once(spark, tmp_path, monkeypatch):
+    part = pd.read_parquet(f"{DATA}/part.parquet")
+    pd.concat([part.assign(p_partkey=part["p_partkey"] + 1000 * k) for k in range(100)]).to_parquet(tmp_path / "part.parquet")
+    monkeypatch.setattr(sys.modules[__name__], "DATA", str(tmp_path))
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")  # sides dealt alike, which adaptive execution joins apart
+    try:
+        plan = catalogue.QUERIES["import_outcomes_by_engine"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "REPARTITION_BY_COL" in plan and "CoGroups" not in plan
+        test_query_equals_sql(spark, "import_outcomes_by_engine")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+
+
 def test_pages_concatenate(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 5) for i in range(40)], "id long, a long, b long")
     sort = [("a", True), ("b", False), ("id", True)]
