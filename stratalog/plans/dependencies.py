@@ -159,8 +159,12 @@ def package_closure(spark, sf):
     """game_id, part, depth: what a game's first package reaches within the game. A part leads to that of the order's next
     line, over all lines of all orders; the first package is the first line's part of the game's first order."""
     line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("long").alias("part"))
-    line = line.join(files(spark, sf).select("file_id", F.col("game_id").cast("long").alias("game_id")), "file_id")
-    line = line.withColumn("node", F.shiftleft("game_id", 40) + F.col("part"))
-    edges_ = line.withColumn("dst", F.lead("node").over(W.partitionBy("file_id").orderBy("n", "part"))).where("dst IS NOT NULL").select(F.col("node").alias("src"), "dst").distinct()
-    roots = line.groupBy("game_id").agg(F.min_by("node", F.struct("file_id", "n", "part")).alias("node")).select("node")
+    owner = files(spark, sf).select("file_id", F.col("game_id").cast("long").alias("game_id"))
+    node = (F.shiftleft("game_id", 40) + F.col("part")).alias("node")
+    # edges that repeat do no harm to a closure, so they are not shuffled again
+    own = line.join(owner, "file_id").select("file_id", "n", "part", node)
+    edges_ = own.select(F.col("node").alias("src"), F.lead("node").over(W.partitionBy("file_id").orderBy("n", "part")).alias("dst")).where("dst IS NOT NULL")
+    # the first file of each game that has lines, by numbers alone, then its lines
+    first = owner.join(line.select("file_id"), "file_id", "left_semi").groupBy("game_id").agg(F.min("file_id").alias("file_id"))
+    roots = line.join(F.broadcast(first), "file_id").groupBy("game_id").agg(F.min_by(node, F.struct("n", "part")).alias("node")).select("node")
     return graph.closure(edges_, roots).select(F.shiftright("node", 40).alias("game_id"), F.col("node").bitwiseAND((1 << 40) - 1).alias("part"), "depth")

@@ -187,3 +187,13 @@ def test_package_closure_against_brute_force(spark):
         front = list(dict.fromkeys(front))
     got = {(r.game_id, r.part): r.depth for r in catalogue.QUERIES["package_closure"](spark, DATA).collect()}
     assert got == depth and len(got) > 1000
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_package_closure_moves_lines_once(spark, monkeypatch):
+    taken = {}
+    whole = graph.closure
+    monkeypatch.setattr(graph, "closure", lambda edges, roots: taken.update(edges=edges, roots=roots) or whole(edges, roots.where("false")))
+    assert catalogue.QUERIES["package_closure"](spark, DATA).count() == 0
+    plan = {k: df._jdf.queryExecution().executedPlan().toString() for k, df in taken.items()}
+    assert "Aggregate" not in plan["edges"] and "LeftSemi" in plan["roots"]
